@@ -6,7 +6,8 @@ copy. Two documents with fractional probabilities are paired and a mass of
 words moves from one to the other, in a direction drawn so that neither
 expectation changes, until one of the two probabilities is 0 or 1. Mass is
 counted in words, so a source's expected total is kept exactly by every pair
-and only the last document of each source is rounded on its own.
+and only the last document of each source is rounded on its own. Large ones
+are paired first, so that one is small.
 
 Pairing runs in leaves, groups of documents that are fixed by the rows alone,
 and each leaf leaves at most one open document. Those meet in a reduction
@@ -92,7 +93,7 @@ def pair_off(rows: list[tuple[str, float, int]], seed: int) -> list[float]:
 
 def _node(seed: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "row_key"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "row_key"], ascending=[False, True], kind="stable").reset_index(drop=True)
         p = pair_off(list(zip(pdf["row_key"], pdf["p"], pdf["size"], strict=True)), seed)
         if last:
             p = [float(_draw(seed, "last", k) < x) if 0 < x < 1 else x for k, x in zip(pdf["row_key"], p, strict=True)]

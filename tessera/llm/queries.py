@@ -6,15 +6,42 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing
-from tessera.storage import table
+from tessera.llm import bpe, hamming, langid, lm, mixing, prefixhash, simhash, substrings, tokenfile, urlfilter
+from tessera.storage import new_path, table
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeats(table(spark, sf_dir, "documents"))
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "tokens")
+    tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
+    return tokenfile.read(spark, folder)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.query(table(spark, sf_dir, "documents"))
+
+
+def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op7_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixhash.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
@@ -25,10 +52,39 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"), "embedding")
+    codes = codes.filter("embedding is not null").select("id", "code")
+    return hamming.top_k(codes, codes.filter("id % 20 = 0"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_language_id": op3_language_id,
-    "op8_byte_bpe": op8_byte_bpe,
-    "op9_mixing": op9_mixing,
+    f.__name__: f
+    for f in (
+        op1_substring_dedup,
+        op2_token_files,
+        op3_language_id,
+        op4_simhash,
+        op5_ppm_scores,
+        op6_url_filter,
+        op7_prefix_hashes,
+        op8_byte_bpe,
+        op9_mixing,
+        op10_hamming_topk,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+_NEAREST = """
+with codes as (
+  select vec_id as id, [x > 0 for x in embedding] as bits from embeddings where vec_id is not null and embedding is not null
+), ranked as (
+  select q.id as query_id, c.id as id,
+    cast(list_sum([case when q.bits[i] <> c.bits[i] then 1 else 0 end for i in range(1, 65)]) as integer) as distance
+  from codes q, codes c where q.id % 20 = 0
+)
+select query_id, cast(rank as integer) as rank, id, distance from (
+  select *, row_number() over (partition by query_id order by distance, id) as rank from ranked
+) where rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op10_hamming_topk": _NEAREST}
