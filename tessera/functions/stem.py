@@ -1,0 +1,93 @@
+"""English stems by Porter's algorithm (1980), for distinct words."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import functions as F
+
+# Common English words that no query is about.
+STOP_WORDS = tuple(
+    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its "
+    "itself they them their theirs themselves what which who whom this that these those am is are was were be been being "
+    "have has had having do does did doing a an the and but if or because as until while of at by for with about against "
+    "between into through during before after above below to from up down in out on off over under again further then once "
+    "here there when where why how all any both each few more most other some such no nor not only own same so than too "
+    "very s t can will just don should now".split()
+)
+
+_STEP2 = {
+    "ational": "ate", "tional": "tion", "enci": "ence", "anci": "ance", "izer": "ize", "abli": "able", "alli": "al", "entli": "ent",
+    "eli": "e", "ousli": "ous", "ization": "ize", "ation": "ate", "ator": "ate", "alism": "al", "iveness": "ive", "fulness": "ful",
+    "ousness": "ous", "aliti": "al", "iviti": "ive", "biliti": "ble",
+}
+_STEP3 = {"icate": "ic", "ative": "", "alize": "al", "iciti": "ic", "ical": "ic", "ful": "", "ness": ""}
+_STEP4 = ("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize").split()
+
+
+def _shape(word: str) -> str:
+    """c and v for each letter; y is a vowel after a consonant."""
+    out = ""
+    for i, ch in enumerate(word):
+        out += "v" if ch in "aeiou" or (ch == "y" and i and out[-1] == "c") else "c"
+    return out
+
+
+def _measure(stem: str) -> int:
+    return len(re.findall("vc", re.sub(r"(.)\1+", r"\1", _shape(stem))))
+
+
+def _short_end(stem: str) -> bool:
+    return _shape(stem)[-3:] == "cvc" and stem[-1] not in "wxy"
+
+
+def _swap(word: str, table: dict[str, str]) -> str:
+    for end in sorted(table, key=len, reverse=True):
+        if word.endswith(end):
+            base = word[: len(word) - len(end)]
+            return base + table[end] if _measure(base) > 0 else word
+    return word
+
+
+def stem_word(word: str) -> str:
+    """The stem of one lower-case word; words of other letters than a-z stay."""
+    if len(word) < 3 or not re.fullmatch("[a-z]+", word):
+        return word
+    if word.endswith("sses") or word.endswith("ies"):
+        word = word[:-2]
+    elif word.endswith("s") and not word.endswith("ss"):
+        word = word[:-1]
+    if word.endswith("eed"):
+        if _measure(word[:-3]) > 0:
+            word = word[:-1]
+    elif (m := re.fullmatch("(.*)(ed|ing)", word)) and "v" in _shape(m[1]):
+        word = m[1]
+        if word.endswith(("at", "bl", "iz")):
+            word += "e"
+        elif word[-1:] == word[-2:-1] and _shape(word)[-1] == "c" and word[-1] not in "lsz":
+            word = word[:-1]
+        elif _measure(word) == 1 and _short_end(word):
+            word += "e"
+    if word.endswith("y") and "v" in _shape(word[:-1]):
+        word = word[:-1] + "i"
+    word = _swap(_swap(word, _STEP2), _STEP3)
+    for end in sorted(_STEP4, key=len, reverse=True):
+        if word.endswith(end):
+            base = word[: len(word) - len(end)]
+            if _measure(base) > 1 and (end != "ion" or base[-1:] in ("s", "t")):
+                word = base
+            break
+    if word.endswith("e"):
+        m = _measure(word[:-1])
+        if m > 1 or (m == 1 and not _short_end(word[:-1])):
+            word = word[:-1]
+    if word.endswith("ll") and _measure(word) > 1:
+        word = word[:-1]
+    return word
+
+
+@F.pandas_udf("string")
+def stem(words: pd.Series) -> pd.Series:
+    """Stems of a column of words; apply it to distinct ones."""
+    return words.map(stem_word, na_action="ignore")
