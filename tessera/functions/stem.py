@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Common English words that no query is about.
 STOP_WORDS = tuple(
@@ -87,7 +88,7 @@ def stem_word(word: str) -> str:
     return word
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def stem(words: pd.Series) -> pd.Series:
     """Stems of a column of words; apply it to distinct ones."""
     return words.map(stem_word, na_action="ignore")

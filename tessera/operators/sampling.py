@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.constants import BANDS, CATEGORIES, LEAST_CANDIDATES, OVER_GENERATE
 from tessera.operators.scoring import lookup
+from tessera.storage import persist
 
 
 def language_quota(pools: dict[str, int], total: int) -> dict[str, int]:
@@ -75,19 +76,19 @@ def band_sample(results: DataFrame, order: list[Column], targets: dict[str, int]
     """One result of each band of each query, no passage twice, trimmed to the bands' targets.
 
     A passage goes to the first (query, band) in order that may have it; what
-    that takes from others they replace in the next round. Rounds end when
-    nothing changes, after as many as a passage has rivals at most.
+    that takes from others they replace in the next round, until no passage is
+    wanted twice.
     """
     banded = results.withColumn("band", band_of(F.col("rank"))).filter("band is not null")
-    for _ in range(8):
+    while True:
         pick = banded.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id", "band").orderBy(*order))).filter("_rn = 1")
         owner = pick.withColumn("_o", F.row_number().over(Window.partitionBy("passage_id").orderBy("query_id", "band")))
         lost = owner.filter("_o > 1").select("query_id", "band", "passage_id")
-        banded = banded.join(lost, ["query_id", "band", "passage_id"], "left_anti")
-    final = banded.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id", "band").orderBy(*order))).filter("_rn = 1")
-    final = final.withColumn("_o", F.row_number().over(Window.partitionBy("passage_id").orderBy("query_id", "band"))).filter("_o = 1")
-    trimmed = final.withColumn("_b", F.row_number().over(Window.partitionBy("band").orderBy(*order)))
-    return trimmed.filter(F.col("_b") <= lookup(F.col("band"), {k: float(v) for k, v in targets.items()}, 0.0)).drop("_rn", "_o", "_b")
+        if lost.isEmpty():
+            break
+        banded = persist(banded.join(lost, ["query_id", "band", "passage_id"], "left_anti"), "bands")
+    trimmed = pick.withColumn("_b", F.row_number().over(Window.partitionBy("band").orderBy(*order)))
+    return trimmed.filter(F.col("_b") <= lookup(F.col("band"), {k: float(v) for k, v in targets.items()}, 0.0)).drop("_rn", "_b")
 
 
 def unused(queries: DataFrame, used: DataFrame, languages: list[str]) -> DataFrame:

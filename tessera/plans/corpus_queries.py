@@ -17,7 +17,7 @@ from tessera.storage import table
 
 _WEIGHTS = {"src0": 1.0, "src1": 0.7, "src2": 0.5}
 _WEIGHT_SQL = "case source when 'src0' then 1.0 when 'src1' then 0.7 when 'src2' then 0.5 else 0.4 end"
-_ENTRIES = """entries as (select l_orderkey * 8 + l_linenumber as seq, 'src' || l_suppkey % 4 as source, cast(year(l_shipdate) as integer) as year, 'k' || l_partkey % 500 as key,
+_ENTRIES = """entries as (select ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey as seq, 'src' || l_suppkey % 4 as source, cast(year(l_shipdate) as integer) as year, 'k' || l_partkey % 500 as key,
   'Artist ' || l_partkey % 500 as artist, case when l_linenumber % 3 = 0 then 'Guest ' || l_suppkey % 10 end as featured_artists, 'Song ' || l_partkey % 500 as title,
   cast(l_quantity as integer) as rank, case when l_linenumber % 2 = 0 then cast(1960 + l_suppkey % 60 as integer) end as original_year, 'g' || l_suppkey % 3 as genre from lineitem)"""
 
@@ -26,7 +26,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chart entries with an order of arrival."""
     named = lambda prefix, c, n: F.concat(F.lit(prefix), (F.col(c) % n).cast("string"))
     return table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), named("src", "l_suppkey", 4).alias("source"), F.year("l_shipdate").alias("year"),
+        (((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("seq"), named("src", "l_suppkey", 4).alias("source"), F.year("l_shipdate").alias("year"),
         named("k", "l_partkey", 500).alias("key"), named("Artist ", "l_partkey", 500).alias("artist"),
         F.when(F.col("l_linenumber") % 3 == 0, named("Guest ", "l_suppkey", 10)).alias("featured_artists"), named("Song ", "l_partkey", 500).alias("title"),
         F.col("l_quantity").cast("int").alias("rank"), F.when(F.col("l_linenumber") % 2 == 0, (1960 + F.col("l_suppkey") % 60).cast("int")).alias("original_year"),
@@ -83,7 +83,7 @@ def variant_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""with {_ENTRIES} select key, arg_min(artist, seq) filter (source = 'src2' or key not in (select key from entries where source = 'src2')) as artist,
   arg_min(title, seq) filter (source = 'src2' or key not in (select key from entries where source = 'src2')) as title,
-  arg_min(featured_artists, -length(featured_artists) * 1000000000000 + seq) filter (featured_artists is not null) as featured_artists,
+  arg_min(featured_artists, -length(featured_artists)::hugeint * 1000000000000000000 + seq) filter (featured_artists is not null) as featured_artists,
   arg_min(original_year, seq) filter (original_year is not null) as year,
   array_to_string([s for s in ['src1', 'src0', 'src3', 'src2'] if list_contains(list(distinct source), s)], ', ') as source, min(rank) as source_rank from entries group by key"""
 )
@@ -92,8 +92,8 @@ def merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.merge_canonical(rows, "src2", ("src1", "src0", "src3", "src2"))
 
 
-_DECADES = """select cast(floor(year / 10) * 10 as integer) || 's' as decade, key, cast(sum(101 - rank) as bigint) as decade_score, arg_min(artist, rank * 100000000 + seq) as artist,
-  arg_min({'f': featured_artists}, rank * 100000000 + seq).f as featured_artists, arg_min(title, rank * 100000000 + seq) as title, arg_min(year, rank * 100000000 + seq) as year from entries group by 1, 2"""
+_DECADES = """select cast(floor(year / 10) * 10 as integer) || 's' as decade, key, cast(sum(101 - rank) as bigint) as decade_score, arg_min(artist, rank::hugeint * 1000000000000000000 + seq) as artist,
+  arg_min({'f': featured_artists}, rank::hugeint * 1000000000000000000 + seq).f as featured_artists, arg_min(title, rank::hugeint * 1000000000000000000 + seq) as title, arg_min(year, rank::hugeint * 1000000000000000000 + seq) as year from entries group by 1, 2"""
 
 
 @query(f"with {_ENTRIES} {_DECADES}")
@@ -142,7 +142,7 @@ h as (select *, min(seq) over (partition by key) as first_seq, first_value(p) ov
 firsts as (select distinct on (key, source) key, source, seq from e order by key, source, seq), named as (select key, string_agg(source, ', ' order by seq) as source from firsts group by 1),
 m as (select key, round(sum((50 + 1 - rank) / 50.0 * {_WEIGHT_SQL.replace("0.4", "0.5")}), 6) as combined_score, arg_min(artist, seq) as artist, arg_min(title, seq) as title,
   arg_min(featured_artists, seq) filter (featured_artists is not null) as featured_artists,
-  arg_max({{'y': y}}, p * 1000000000 - seq) filter (seq = first_seq or (y is not null and p > held)) as year, arg_min(original_year, seq) filter (original_year is not null) as oy from h group by key)
+  arg_max({{'y': y}}, p::hugeint * 1000000000000000000 - seq) filter (seq = first_seq or (y is not null and p > held)) as year, arg_min(original_year, seq) filter (original_year is not null) as oy from h group by key)
 select key, combined_score, artist, title, featured_artists, year.y as year, case when oy is distinct from year.y then oy end as original_year, n.source from m join named n using (key)"""
 )
 def priority_year(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1 +1,121 @@
+"""Queries that search: by vector, by word, and both."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators import encode, fusion, lexical, semantic
+from tessera.plans.registry import query
+from tessera.storage import table
+
+_SIM = "list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v)))"
+_VECTORS = "e as (select vec_id as id, cast(embedding as double[]) as v, label from embeddings where embedding is not null), q as (select * from e where id = 0)"
+
+
+def _query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[float]:
+    """One row's vector: what a caller's encoder would give."""
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") == vec_id).first()["embedding"]
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").cast("string").alias("language"), "label")
+
+
+@query(f"with {_VECTORS} select e.id, round({_SIM}, 6) as score from e, q order by score desc, e.id limit 10")
+def semantic_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 10, "id", "embedding").select("id", "score")
+
+
+@query(f"with {_VECTORS} select e.id, round({_SIM} + case when e.label = 3 then 0.1 else 0.0 end, 6) as score from e, q order by score desc, e.id limit 10")
+def semantic_topk_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 10, "id", "embedding", "language", "3").select("id", "score")
+
+
+@query(
+    f"""with {_VECTORS.replace("where id = 0", "where id % 25 = 0")}, s as (select q.id as query_id, e.id, round({_SIM} + case when e.label = q.label then 0.1 else 0.0 end, 6) as score from e, q),
+r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, id, score, cast(rank as integer) as rank from r where rank <= 10"""
+)
+def semantic_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    queries = rows.filter("id % 25 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("language").alias("query_language"))
+    return semantic.topk_batch(rows, queries, 10, "id", "embedding")
+
+
+@query(
+    f"""with {_VECTORS}, s as (select e.id, e.label, round({_SIM}, 6) as score from e, q order by score desc, e.id limit 40),
+b as (select *, row_number() over (partition by label order by score desc, id) as rn from s)
+select id, label, score, cast(row_number() over (order by score desc, id) as integer) as rank from b where rn = 1 order by score desc, id limit 10"""
+)
+def song_level_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fetched = semantic.topk(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), semantic.depth(10), "id", "embedding")
+    return semantic.best_per_parent(fetched.select("id", "label", "score"), ["label"], [F.desc("score"), F.col("id")], semantic.clamp_k(10))
+
+
+_SPLIT = r"[x for x in regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{M}\p{N}_]+') if x <> '']"
+_INDEX = f"""w as (select doc_id as id, {_SPLIT} as t from documents), flat as (select id, len(t) as doc_len, unnest(t) as term from w),
+p as (select term, id, count(*) as tf, any_value(doc_len) as doc_len from flat group by 1, 2), qt as (select distinct item_id as query_id, unnest({_SPLIT}) as term from benchmark)"""
+_MATCH = """m as (select query_id, id, round(sum(tf) * 0.1::double, 6) as score from p join qt using (term) group by 1, 2),
+match as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from m) where rank <= 100)"""
+_BM25 = """n as (select count(*) as n_docs, avg(doc_len) as avg_len from (select distinct id, doc_len from p)), df as (select term, count(*) as df from p group by 1),
+b as (select query_id, id, round(sum(ln(1 + (n_docs - df + 0.5::double) / (df + 0.5::double)) * tf * 2.2::double / (tf + 1.2::double * (0.25::double + 0.75::double * doc_len / avg_len))), 6) as score
+  from p join qt using (term) join df using (term), n group by 1, 2),
+bm as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from b) where rank <= 100)"""
+
+
+def _index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
+    index = lexical.postings(table(spark, sf_dir, "documents"), "doc_id", "text", stemmed)
+    return index, lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed)
+
+
+@query(f"with {_INDEX} select term, id, tf, cast(doc_len as bigint) as doc_len from p")
+def postings_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir)[0].select("term", "id", "tf", "doc_len")
+
+
+@query(f"with {_INDEX}, {_MATCH} select query_id, id, score, cast(rank as integer) as rank from match")
+def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.match_topk(*_index(spark, sf_dir))
+
+
+@query(f"with {_INDEX}, {_BM25} select query_id, id, score, cast(rank as integer) as rank from bm")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.bm25_topk(*_index(spark, sf_dir))
+
+
+@query()
+def bm25_topk_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.bm25_topk(*_index(spark, sf_dir, stemmed=True))
+
+
+_FUSED = f"""with {_INDEX}, {_MATCH}, {_BM25}, u as (select query_id, id, rank, 0 as l from match union all select query_id, id, rank, 1 from bm),
+f as (select query_id, id, round(sum(1.0::double / (60 + rank)), 9) as score, min(rank) filter (l = 0) as semantic_rank, min(rank) filter (l = 1) as lexical_rank, min(l * 1000000 + rank) as first from u group by 1, 2),
+r as (select *, row_number() over (partition by query_id order by score desc, first, id) as rank from f)"""
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, terms = _index(spark, sf_dir)
+    return fusion.rrf([("semantic", lexical.match_topk(index, terms)), ("lexical", lexical.bm25_topk(index, terms))], by=["query_id"])
+
+
+@query(f"{_FUSED} select query_id, id, score, cast(semantic_rank as integer) as semantic_rank, cast(lexical_rank as integer) as lexical_rank, cast(rank as integer) as rank from r where rank <= 10")
+def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fused(spark, sf_dir)
+
+
+@query(
+    f"{_FUSED} select query_id, id, case when semantic_rank is not null and lexical_rank is not null then 'both' when semantic_rank is not null then 'semantic' else 'lexical' end as dominance from r where rank <= 10"
+)
+def rrf_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.dominance(_fused(spark, sf_dir), "semantic", "lexical").select("query_id", "id", "dominance")
+
+
+@query()
+def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", "lang", encode.detect_language(F.col("text"), encode.profiles(docs, "text", "lang"), unknown="unknown").alias("detected"))
+
+
+@query()
+def encode_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "embedding")

@@ -6,7 +6,9 @@ a session names none (tests, a laptop) is a temporary folder made and set.
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,16 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs now, not when the driver next collects garbage.
+
+    Between the phases of a long job that keeps the disk at the need of one phase.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner runs beside
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, by any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
