@@ -142,10 +142,11 @@ def neighbours(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5])).first()[0] or []
-    splits = [float("-inf"), *sorted({float(x) for x in cut}), float("inf")]
+    cut = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5])).first()[0]
+    splits = [float("-inf"), *sorted({float(x) for x in cut or [0]}), float("inf")]
     rows = rows.withColumn("_id", F.col("doc_id").cast("double"))
-    rows = Bucketizer(splits=splits, inputCol="_id", outputCol="_range", handleInvalid="keep").transform(rows).withColumn("_range", F.col("_range").cast("int")).drop("_id")
+    rows = Bucketizer(splits=splits, inputCol="_id", outputCol="_range", handleInvalid="keep").transform(rows).drop("_id")
+    rows = rows.withColumn("_range", F.coalesce(F.col("_range").cast("int"), F.lit(len(splits) - 1)))  # null ids: a range of their own
     # One row a range, the least of each: as many as there are partitions.
     least = {r["_range"]: r["first"] for r in rows.groupBy("_range").agg(F.min(F.struct("doc_id", "h")).alias("first")).collect()}
     if not least:

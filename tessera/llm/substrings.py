@@ -176,7 +176,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     One row a span: doc_id, text_hash (xxhash64 of the text), span_start and
     span_end (bytes of the UTF-8 text), n_words, and first_doc_id,
-    first_start: where its first chunk stands earlier. "Earlier" is by
+    first_start: an earlier place where a chunk of it stands. "Earlier" is by
     (doc_id, text_hash, byte), null ids first; repeats within a text count.
     Rows alike in id and text are one document. Null and empty texts have no
     span; a table without repeats gives an empty result.
@@ -194,7 +194,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     begins = (F.col("at") != F.coalesce(F.lag("until").over(text), F.lit(-1))).cast("int")
     spans = rows.withColumn("begins", begins).withColumn("span", F.sum("begins").over(text)).groupBy("doc_id", "text_hash", "span")
     out = spans.agg(
-        F.min("at").alias("span_start"), F.max("until").alias("span_end"), F.sum("words").cast("long").alias("n_words"), F.min_by("f", "at").alias("f")
+        F.min("at").alias("span_start"), F.max("until").alias("span_end"), F.sum("words").cast("long").alias("n_words"), F.min("f").alias("f")
     ).filter(F.col("n_words") >= min_words)
     return out.select("doc_id", "text_hash", "span_start", "span_end", "n_words", F.col("f.first_doc").alias("first_doc_id"), F.col("f.first_at").alias("first_start"))
 
