@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.constants import MAX_GRADE, NDCG_AT, RECALL_AT, RELEVANT, SMALL_SLICE
 
-_NAN = F.lit(float("nan"))
+_NAN = float("nan")
 
 
 def _gain(grade: Column, rank: Column) -> Column:
@@ -62,7 +62,7 @@ def agreement(df: DataFrame, a: str, b: str, by: list[str], classes: int = MAX_G
         F.round(F.avg((x == y).cast("double")), 9).alias("exact"), F.round(F.avg((F.abs(x - y) <= 1).cast("double")), 9).alias("within_one"),
     )
     expected = F.col("_xx") - 2 * F.col("_x") * F.col("_y") + F.col("_yy")
-    kappa = F.when(expected > 1e-12, F.round(1 - F.try_divide(F.col("_o"), expected), 9)).otherwise(_NAN)
+    kappa = F.when(expected > 1e-12, F.round(1 - F.try_divide(F.col("_o"), expected), 9)).otherwise(F.lit(_NAN))
     return out.select(*by, "n", kappa.alias("kappa"), "exact", "within_one")
 
 
@@ -87,7 +87,7 @@ def spearman(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     )
     va, vb = (F.col("_saa") - F.col("_sa") * F.col("_sa") / F.col("n")), (F.col("_sbb") - F.col("_sb") * F.col("_sb") / F.col("n"))
     cov = F.col("_sab") - F.col("_sa") * F.col("_sb") / F.col("n")
-    rho = F.when((va > 1e-9) & (vb > 1e-9), F.round(F.try_divide(cov, F.sqrt(F.abs(va * vb))), 9)).otherwise(_NAN)
+    rho = F.when((va > 1e-9) & (vb > 1e-9), F.round(F.try_divide(cov, F.sqrt(F.abs(va * vb))), 9)).otherwise(F.lit(_NAN))
     return out.select(*by, "n", rho.alias("spearman"))
 
 
