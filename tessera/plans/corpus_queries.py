@@ -279,3 +279,10 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def numbered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = dedup.first_seen(table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("segment"), "c_custkey"), "segment", [F.col("c_custkey")])
     return sampling.numbered(seen, "raw", 4, [F.col("segment")]).select("id", "segment")
+
+
+@query(
+    """select user_id, event_id, cast(rn as integer) as rn from (select user_id, event_id, row_number() over (partition by user_id order by value desc, event_id) as rn from events) where rn <= 5"""
+)
+def artist_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.top_n_per_group(table(spark, sf_dir, "events"), "user_id", [F.desc("value"), F.col("event_id")], 5).select("user_id", "event_id", "rn")

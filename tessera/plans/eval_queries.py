@@ -157,3 +157,44 @@ def incremental_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select date_trunc('day', ts)::timestamp as window_start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.windowed_counts(table(spark, sf_dir, "events"))
+
+
+def _kappa_sql(a: str, b: str) -> str:
+    return f"round(1 - avg(({a} - {b}) * ({a} - {b})) / (avg({a} * {a}) - 2 * avg({a}) * avg({b}) + avg({b} * {b})), 6)"
+
+
+@query(
+    f"""with {_PAIRS}, p as (select batch, judge::double as j, human::double as h, ((human + doc_id % 5 // 4) % 4)::double as s from pairs)
+select batch, {_kappa_sql("j", "h")} as first_kappa, {_kappa_sql("j", "s")} as second_kappa from p group by 1"""
+)
+def kappa_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    second = ((F.col("human") + F.floor(F.col("doc_id") % 5 / 4)) % 4).cast("int")
+    out = evaluate.kappa_change(_pairs(spark, sf_dir).withColumn("second", second), "judge", "human", "second", ["batch"])
+    return out.select("batch", F.round("first_kappa", 6).alias("first_kappa"), F.round("second_kappa", 6).alias("second_kappa"))
+
+
+@query(f"with {_PAIRS} select count(*) as n, avg((human = judge)::int) as repeat_rate from pairs")
+def repeat_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _pairs(spark, sf_dir)
+    take = lambda c: pairs.select(F.col("batch").alias("query_id"), F.col("doc_id").alias("passage_id"), F.col(c).alias("grade"))
+    return judge.repeat_rate(take("human"), take("judge"))
+
+
+@query(
+    """with k as (select conv_id, turn, role, text from conversations where turn % 2 = 0 and role = 'user'), c as (select distinct conv_id || '-' || turn as raw_id from k)
+select raw_id, 'vibe_' || lpad(cast(row_number() over (order by raw_id) as varchar), 3, '0') as id from c"""
+)
+def kept_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
+    turns = turns.select(F.concat_ws("-", "conv_id", "turn").alias("raw_id"), "turn").distinct()
+    decisions = turns.select("raw_id", F.when(F.col("turn") % 2 == 0, "k").otherwise("d").alias("decision"))
+    return sampling.apply_decisions(turns.select("raw_id"), decisions).select("raw_id", "id")
+
+
+@query("select lang as language, lang not in (select lang from documents where source = 'src3') as uncalibrated, lang in (select lang from documents where source = 'src3') as both from documents group by 1")
+def calibrated_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    all_, some = docs.select("lang").distinct(), docs.filter("source = 'src3'").select("lang").distinct()
+    rest, both = all_.subtract(some), all_.intersect(some)
+    mark = lambda df, a, b: df.select(F.col("lang").alias("language"), F.lit(a).alias("uncalibrated"), F.lit(b).alias("both"))
+    return mark(rest, True, False).unionByName(mark(both, False, True))

@@ -188,3 +188,42 @@ def html_chart_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     chart = html.chart_rows(found, 3)
     years = found.select("id", "row_no", "year")
     return chart.join(years, ["id", "row_no"]).select("id", "rank", "title", "artist_raw", "year")
+
+
+_CELL = "' \"' || p_name || '\"[1]  (x)/' || p_type || ' [note] '"
+
+
+@query(
+    rf"""with c as (select p_partkey, {_CELL} as raw from part), d as (select p_partkey, raw, {_strip(f"regexp_replace(regexp_replace(raw, '[[].*?[]]', '', 'g'), '{_WS}+', ' ', 'g')")} as cell from c)
+select p_partkey, cell, {_strip("regexp_replace(cell, '^[\"“”]+|[\"“”]+$', '', 'g')")} as unquoted, {_strip("split_part(raw, '/', 1)")} as first_side,
+  {_strip(r"regexp_replace(raw, '\s*[\(\[][^\)\]]*[\)\]]\s*$', '')")} as without_bracket from d"""
+)
+def cell_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.col("raw")
+    cells = [text.clean_cell(raw).alias("cell"), text.clean_cell(raw, True).alias("unquoted"), text.first_side(raw).alias("first_side"), text.strip_bracket(raw).alias("without_bracket")]
+    return table(spark, sf_dir, "part").withColumn("raw", F.expr(_CELL)).select("p_partkey", *cells)
+
+
+@query(
+    """select p_partkey, 101 - p_size as points, (50 + 1 - p_size) / 50.0::double as score, greatest(0.01::double, (151 - p_partkey % 300) / 150.0::double) as implicit,
+  case when p_retailprice / 1500 > 0.75 then 'strong' when p_retailprice / 1500 >= 0.60 then 'acceptable' when p_retailprice / 1500 >= 0.40 then 'weak' else 'unusable' end as reads from part"""
+)
+def rank_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = [
+        text.chart_points(F.col("p_size")).alias("points"), text.rank_score(F.col("p_size"), F.lit(50)).alias("score"),
+        text.implicit_score(F.col("p_partkey") % 300).alias("implicit"), text.agreement_band(F.col("p_retailprice") / 1500).alias("reads"),
+    ]
+    return table(spark, sf_dir, "part").select("p_partkey", *scores)
+
+
+_INTRO = "'\"' || p_name || '\" is a song by the British band ' || p_brand || ', released in ' || case p_partkey % 3 when 0 then 'May 1971' when 1 then '1983' else '1888' end || '. It went viral on TikTok' || case p_partkey % 2 when 0 then ' in 2021.' else ' soon after 2020.' end"
+
+
+@query(
+    """select p_partkey, p_brand as artist, cast(case p_partkey % 3 when 0 then 1971 when 1 then 1983 else case when p_partkey % 2 = 0 then 2021 else 2020 end end as integer) as released,
+  cast(case when p_partkey % 2 = 0 then 2021 else 2020 end as integer) as viral from part"""
+)
+def article_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    intro = F.col("intro")
+    facts = [text.intro_artist(intro).alias("artist"), text.release_year(intro).alias("released"), text.viral_year(intro).alias("viral")]
+    return table(spark, sf_dir, "part").withColumn("intro", F.expr(_INTRO)).select("p_partkey", *facts)
