@@ -28,7 +28,7 @@ from tessera.llm.common import short_batches
 from tessera.llm.memo import Memo
 
 #: Entries of each half of a worker's memos of units and pieces of text.
-MEMO_UNITS, MEMO_PIECES = 200_000, 300_000
+MEMO_UNITS, MEMO_PIECES = 100_000, 160_000
 #: Longer units are rare; they aren't kept.
 MEMO_CHARS = 64
 _OPEN = 1 << 62

@@ -6,7 +6,7 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: texts may be long, so batches are kept short.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def short_batches(spark: SparkSession) -> None:

@@ -30,7 +30,7 @@ MAX_LANGUAGES = 4096
 #: A block of documents that is counted and multiplied at once.
 BLOCK_DOCS, BLOCK_CHARS = 128, 1_000_000
 #: Rows of the cache of trigram vectors (4 kB each); it starts anew when full.
-CACHE_ROWS = 16_384
+CACHE_ROWS = 8192
 _CODES = 128
 
 
