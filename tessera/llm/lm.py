@@ -1,8 +1,8 @@
 """Scoring texts by prediction with partial matching (PPM).
 
 The model is a trie of byte contexts up to ``ORDER`` bytes with the counts of
-the bytes that follow. A byte is predicted in the longest context that the
-trie has. With n the context's count and t the number of distinct followers, a
+the bytes that follow; no context is left out. A byte is predicted in the
+longest context that the trie has. With n the context's count and t the number of distinct followers, a
 follower seen c times has probability c / (n + t) and the escape to the next
 shorter context t / (n + t) (method C); there the followers already seen are
 excluded. Below the empty context all bytes not yet excluded are alike. A
@@ -10,12 +10,15 @@ text begins after ``ORDER`` bytes 255 and ends with one, which no UTF-8 text
 has, so the probabilities of all texts add up to one.
 
 Training is pretrained, not adaptive: counts come from all training texts, so
-every node's distribution, escapes and exclusions included, is worked out once
-and a text's score is a sum of table look-ups.
+the probability of each distinct gram (a context of ``ORDER`` bytes and its
+follower), escapes and exclusions included, is worked out once and a text's
+score is a sum of look-ups. The trie is partitioned by the last two bytes of a
+context: all longer contexts that end in them, with all their followers, lie
+in one part, and the two lowest orders are at most 65,536 counts.
 
 The baseline is a unigram model over words with additive smoothing. Its counts
-are exact and looked up by join: each block of documents asks once for every
-distinct word it has.
+are exact. Words and grams are looked up by join: each block of documents asks
+once for every distinct one it has.
 """
 
 from __future__ import annotations
@@ -23,21 +26,19 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_remainder, short_batches
-from tessera.llm.tokenfile import _map, _write
-from tessera.storage import discard, new_path, persist, release
+from tessera.storage import discard, persist, release
 
 ORDER = 5
-#: The trie keeps so many contexts of each order, those with the greatest
-#: counts: the memory bound of the model. A shorter one stands in for the rest.
+#: The bound of ``_least_total``; ``score`` has none.
 MAX_CONTEXTS = 65_536
 SMOOTHING = 0.1
 #: Text of a block, on average.
@@ -60,12 +61,18 @@ def _layout(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, dtype=np.uint8), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Each context of ``ORDER`` bytes with its follower, as one number, and its count."""
-    data, begins = _layout(texts)
+def _keys(data: np.ndarray) -> np.ndarray:
+    """Every window of a context and its follower, as one number."""
     key = np.zeros(max(len(data) - ORDER, 0), dtype=np.uint64)
     for j in range(_GRAM):
         key = key << np.uint64(8) | data[j : len(data) - ORDER + j]
+    return key
+
+
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each context of ``ORDER`` bytes with its follower, as one number, and its count."""
+    data, begins = _layout(texts)
+    key = _keys(data)
     real = np.ones(len(key), dtype=bool)
     for j in range(1, _GRAM):  # windows that end in the next text's padding
         at = begins[1:-1] - _GRAM + j
@@ -82,7 +89,7 @@ _COUNTS = "kind int, block int, key long, n long"
 
 
 def _count(dealt: DataFrame) -> DataFrame:
-    """Words (kind 0: with the block, training count or 0) and byte grams (kind 1) of each block."""
+    """Words (kind 0) and byte grams (kind 1) of each block with their training counts there, or 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
@@ -90,18 +97,21 @@ def _count(dealt: DataFrame) -> DataFrame:
         parts = [(np.empty(0, np.uint64), np.empty(0, np.int64))]
         block = 0
         for batch in batches:
-            train = []
+            train, held_out = [], []
             for b, held, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 block = b
                 if held:
                     others.update(_words(text))
+                    held_out.append(text)
                 else:
                     words.update(_words(text))
                     train.append(text)
-            for portion in _portions(train, PORTION):
-                parts.append(gram_counts(portion))
-                if sum(len(k) for k, _ in parts) > MERGE_GRAMS:
-                    parts = [_merge(parts)]
+            for seen, texts in ((1, train), (0, held_out)):
+                for portion in _portions(texts, PORTION):
+                    keys, n = gram_counts(portion)
+                    parts.append((keys, n * seen))
+                    if sum(len(k) for k, _ in parts) > MERGE_GRAMS:
+                        parts = [_merge(parts)]
         grams = _merge(parts)
         others.difference_update(words)
         digest = xxhash.xxh3_64_intdigest
@@ -121,7 +131,7 @@ def _count(dealt: DataFrame) -> DataFrame:
 
 
 class Trie:
-    """The contexts and, for each, the logarithms of all followers' probabilities.
+    """The contexts and, for each, the logarithms of all followers' probabilities, in memory.
 
     ``column`` maps bytes to columns; bytes never seen share the last one.
     Contexts of order k are rows ``base[k]`` on of ``log_p``; ``child[k]`` has,
@@ -153,20 +163,6 @@ class Trie:
         skipped = begins[:-1] + ORDER
         return total[begins[1:]] - total[skipped]
 
-    def save(self, folder: str) -> None:
-        about = np.array([self.log_p.shape[1], len(self.child), *self.base], dtype=np.int64)
-        for name, array in (("about", about), ("column", self.column), ("log_p", self.log_p), *((f"child{k}", x) for k, x in enumerate(self.child))):
-            _write(f"{folder}/{name}", lambda out, a=array: out.write(np.ascontiguousarray(a).tobytes()))
-
-
-@lru_cache(2)
-def load(folder: str) -> Trie:
-    """A saved trie, mapped into memory where the folder is local."""
-    about = np.array(_map(f"{folder}/about", "i8"))
-    width, orders = int(about[0]), int(about[1])
-    child = [_map(f"{folder}/child{k}", "i4") for k in range(orders)]
-    return Trie(np.array(_map(f"{folder}/column", "u1")), about[2:].tolist(), child, _map(f"{folder}/log_p", "f4").reshape(-1, width))
-
 
 def build(grams: list[tuple[np.ndarray, np.ndarray]]) -> Trie:
     """The trie of (context and follower, count) arrays, one pair for each order from 0."""
@@ -241,21 +237,105 @@ def _least_total(totals: DataFrame) -> int:
     return least
 
 
-def train(counted: DataFrame) -> Trie:
-    """The trie of the byte grams in ``counted``: at most ``MAX_CONTEXTS`` contexts an order."""
+def low_orders(grams: DataFrame) -> np.ndarray:
+    """How often each byte (column) follows each byte (row): 65,536 counts."""
+    out = np.zeros((256, 256), dtype=np.int64)
+    for r in grams.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key")).agg(F.sum("n").alias("n")).collect():
+        out[r["key"] >> 8, r["key"] & 255] = r["n"]
+    return out
+
+
+def gram_scores(keys: np.ndarray, n: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each gram's last byte after the others.
+
+    ``keys`` are distinct, with all grams of the training texts that share
+    the last two bytes of a context; n is the training count, maybe 0. The
+    followers of a context also follow its shorter forms, so at each order
+    those excluded are the followers of the context one byte longer.
+    """
+    score, left = np.zeros(len(keys)), np.ones(len(keys), dtype=bool)
+    above_seen = np.zeros(len(keys))  # followers of the context one byte longer
+    gram, count, back = keys, n, np.arange(len(keys))
+    for k in range(ORDER, -1, -1):
+        # Distinct grams of this order with their counts; ``back`` leads from keys to them.
+        if k < ORDER:
+            longer, longer_count, longer_back = gram, count, back
+            gram, up = np.unique(longer & np.uint64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            back = up[longer_back]
+            if k >= 2:
+                count = np.bincount(up, longer_count).astype(np.int64)
+            else:
+                pairs = low if k else low.sum(0, keepdims=True)
+                count = pairs[(gram >> np.uint64(8)).astype(np.int64), (gram & np.uint64(255)).astype(np.int64)]
+        if k >= 2:
+            _, at = np.unique(gram >> np.uint64(8), return_inverse=True)
+            total, seen = np.bincount(at, count)[at][back], np.bincount(at, count > 0)[at][back]
+        else:
+            row = (gram >> np.uint64(8)).astype(np.int64)
+            total, seen = pairs.sum(1)[row][back].astype(float), (pairs > 0).sum(1)[row][back].astype(float)
+        if k == ORDER:
+            taken = np.zeros(len(keys))
+        elif k >= 1:  # counts here of what follows the longer context
+            _, at = np.unique(longer >> np.uint64(8), return_inverse=True)
+            taken = np.bincount(at, np.where(longer_count > 0, count[up], 0))[at][longer_back]
+        else:
+            taken = ((low > 0) * low.sum(0)).sum(1)[(longer >> np.uint64(8)).astype(np.int64)][longer_back].astype(float)
+        t, c = seen - above_seen, count[back]
+        whole = np.where(t > 0, total - taken + t, 1.0)
+        here = left & (c > 0)
+        score[here] += np.log10(c[here] / whole[here])
+        left &= ~here
+        escape = left & (t > 0)
+        score[escape] += np.log10(t[escape] / whole[escape])
+        above_seen = seen
+    score[left] -= np.log10(np.maximum(256 - above_seen[left], 1))
+    return score
+
+
+def train(counted: DataFrame) -> DataFrame:
+    """(key, p): every gram of ``counted`` and the logarithm of its probability."""
     grams = persist(counted.filter("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    found = []
-    for k in range(_GRAM):
-        own = grams.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        if k > 2:  # two bytes have no more than MAX_CONTEXTS values
-            context = F.shiftright("key", 8).alias("context")
-            total = persist(own.groupBy(context).agg(F.sum("n").alias("total")), "contexts")
-            own = own.withColumn("context", context).join(total.filter(F.col("total") >= _least_total(total)), "context", "left_semi").select("key", "n")
-        got = own.toArrow()
-        order = np.argsort(got.column("key").to_numpy())
-        found.append((got.column("key").to_numpy()[order].astype(np.uint64), got.column("n").to_numpy()[order]))
+    low = low_orders(grams)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _whole_suffixes(batches):
+            p = gram_scores(keys, n, low)
+            for a in range(0, len(keys), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a : a + 100_000].view(np.int64)), pa.array(p[a : a + 100_000])], ["key", "p"])
+
+    suffix = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("suffix")
+    parts = grams.select(suffix, "key", "n").repartition("suffix").sortWithinPartitions("suffix")
+    out = persist(parts.mapInArrow(run, "key long, p double"), "lm-grams")
     discard(grams)
-    return build(found)
+    return out
+
+
+def _whole_suffixes(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, counts) of about ``rows`` grams or more that end with a suffix."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size, wanted = 0, rows
+    for batch in batches:
+        held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
+        size += batch.num_rows
+        if size >= wanted:
+            suffix, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            end = int(np.searchsorted(suffix, suffix[-1]))
+            if end:
+                yield key[:end].view(np.uint64), n[:end]
+            held, size = [(suffix[end:], key[end:], n[end:])], len(key) - end
+            wanted = max(rows, 2 * size)
+    if size:
+        _, key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield key.view(np.uint64), n
+
+
+def text_scores(texts: list[str], index: pd.Index, p: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each text, by its grams' places in ``index``."""
+    data, begins = _layout(texts)
+    if not texts:
+        return np.zeros(0)
+    total = np.concatenate(([0.0], np.cumsum(p[index.get_indexer(_keys(data).view(np.int64))])))
+    return total[begins[1:] - ORDER] - total[begins[:-1]]
 
 
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -279,8 +359,10 @@ def score(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
     counted = persist(_count(dealt.repartitionById(blocks, F.col("block"))), "lm-counts")
     release(spark)
-    folder = new_path(spark, "trie")
-    train(counted).save(folder)
+    predicted = train(counted)
+    gram_answer = counted.filter("kind = 1").select("block", "key").join(predicted, "key").select("block", F.lit(0).alias("kind"), "key", F.col("p").alias("value"))
+    gram_answer = persist(gram_answer, "lm-block-grams")
+    discard(predicted)
     # A word has one row a block at most, so no group here grows with the word's count.
     word = Window.partitionBy("key")
     asked = counted.filter("kind = 0").select("block", "key", F.sum("n").over(word).alias("c"), (F.min("block").over(word) == F.col("block")).alias("first"))
@@ -293,16 +375,21 @@ def score(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
     missed, ended = math.log10(SMOOTHING) - bottom, math.log10(train_docs + SMOOTHING) - bottom
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = load(folder)
         digest = xxhash.xxh3_64_intdigest
         counts: dict[int, int] = {}
         cache: dict[bytes, float] = {}
+        grams: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))]
+        index = None
         for batch in batches:
-            answers = batch.filter(pa.compute.equal(batch.column(0), 0))
-            counts.update(zip(answers.column(1).to_numpy().view(np.uint64).tolist(), answers.column(2).to_pylist(), strict=True))
-            asks = batch.filter(pa.compute.equal(batch.column(0), 1))
+            predicted, answers, asks = (batch.filter(pa.compute.equal(batch.column(0), k)) for k in range(3))
+            if predicted.num_rows:
+                grams.append((predicted.column(1).to_numpy(), predicted.column(2).to_numpy()))
+            counts.update(zip(answers.column(1).to_numpy().view(np.uint64).tolist(), map(int, answers.column(2).to_pylist()), strict=True))
             if not asks.num_rows:
                 continue
+            if index is None:
+                index, p = pd.Index(np.concatenate([k for k, _ in grams])), np.concatenate([x for _, x in grams])
+                grams.clear()
             ids, texts, held = (asks.column(i).to_pylist() for i in (3, 4, 5))
             tokens, known, base = [], [], []
             for text in texts:
@@ -316,17 +403,16 @@ def score(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
                 tokens.append(len(words) + 1)
                 known.append(len(words) - values.count(missed) + (train_docs > 0))
                 base.append(sum(values) + ended)
-            scores = np.concatenate([np.zeros(0), *(trie.score(x) for x in _portions(texts))])
+            scores = np.concatenate([np.zeros(0), *(text_scores(x, index, p) for x in _portions(texts))])
             columns = [ids, held, tokens, known, [total] * len(ids), base, scores]
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split(" ")[0] for x in _SCORES.split(", ")])
 
-    answer = asked.select(
-        "block", F.lit(0).alias("kind"), "key", "c", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out")
-    )
-    ask = dealt.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("c"), "doc_id", "text", "held_out")
-    both = answer.unionByName(ask).repartitionById(blocks, F.col("block")).sortWithinPartitions("kind")
-    return both.select("kind", "key", "c", "doc_id", "text", "held_out").mapInArrow(run, _SCORES)
+    nothing = (F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("boolean").alias("held_out"))
+    words = asked.select("block", F.lit(1).alias("kind"), "key", F.col("c").cast("double").alias("value"))
+    ask = dealt.select("block", F.lit(2).alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("double").alias("value"), "doc_id", "text", "held_out")
+    both = gram_answer.unionByName(words).select("*", *nothing).unionByName(ask).repartitionById(blocks, F.col("block")).sortWithinPartitions("kind")
+    return both.select("kind", "key", "value", "doc_id", "text", "held_out").mapInArrow(run, _SCORES)
 
 
 def _portions(texts: list[str], size: int = PORTION) -> Iterator[list[str]]:

@@ -122,3 +122,11 @@ def test_contexts_are_bounded_by_their_counts(spark, monkeypatch):
         monkeypatch.setattr(lm, "MAX_CONTEXTS", most)
         kept = totals.filter(totals.total >= lm._least_total(totals)).count()
         assert most * 0.9 - 45 <= kept <= most or kept == 1000 <= most
+
+
+def test_no_context_is_left_out(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrst "))
+    texts = [(i, "".join(rng.choice(letters, 4000))) for i in range(24)]
+    assert len({t[i : i + lm.ORDER] for _, t in texts for i in range(len(t))}) > lm.MAX_CONTEXTS
+    same(lm.score(spark.createDataFrame(texts, "doc_id long, text string")).collect(), expected(texts))
