@@ -2,21 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-#: Rows of an Arrow batch: texts may be long, so batches are kept short.
-BATCH_ROWS = 1000
+#: Bytes of an Arrow batch, whatever its number of rows; one longer row is a batch of its own.
+BATCH_BYTES = 8 << 20
+#: Bytes of an input, as its files hold it, for each partition of its shuffles.
+PARTITION_BYTES = 32 << 20
+#: Sizes from here on are Spark's word for "not known".
+_UNKNOWN = 1 << 60
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of texts holds on the executors."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound what one Arrow batch of texts holds on the executors.
+
+    The bound is in bytes, so very long texts make batches of few rows. It is
+    a setting of the session that plans read when they run, after the
+    operator has returned, so it is only ever lowered and not set back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
+def partitions(df: DataFrame) -> int:
+    """Shuffle partitions for the files that ``df`` reads: the session's number, or more for much data."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-size // PARTITION_BYTES)) if size < _UNKNOWN else usual
+
+
+def with_fields(df: DataFrame, names: list[str], more: str) -> StructType:
+    """The fields ``names`` of ``df``, whatever their names and types, and those of the DDL text ``more``."""
+    own = {f.name: f for f in df.schema.fields}
+    return StructType([*(StructField(n, own[n].dataType) for n in names), *StructType.fromDDL(more).fields])
+
+
+def content_hash(df: DataFrame, names: list[str]) -> Column:
+    """A hash of the columns ``names``; maps, which have no hash, count as their sorted entries."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return F.xxhash64(*(_hashable(F.col(f"`{n}`"), kinds[n].simpleString()) for n in names))
+
+
+def _hashable(col: Column, kind: str) -> Column:
+    return F.to_json(F.struct(col.alias("x"))) if "map<" in kind or "variant" in kind else col
 
 
 def id_remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.pmod(F.crc32(col.cast("string")), F.lit(modulus))
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
+    """Batches in lists of about ``size`` bytes or one batch."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
