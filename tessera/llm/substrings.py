@@ -6,11 +6,16 @@ it depends on the last 16 bytes only. Of the places where a chunk may begin
 cuts whose hash is the strict minimum among the ``REACH`` places on either
 side. Cuts therefore depend on nearby content alone: an insertion moves them
 but changes only those around it, and chunks are a few words long with a
-minimum length. Stretches without a cut are cut every ``LONGEST`` bytes.
-
-A chunk's digest decides what repeats. The occurrence with the least
-(document, position) is the first and stays; the others are repeats. Runs of
-repeated chunks form spans, and spans of at least ``MIN_WORDS`` words count.
+minimum length. A longer stretch without a cut is cut in the same way at any
+character, with a reach of ``FAR``, and one that is the same throughout every
+``LONGEST`` bytes.
+
+What repeats is a window: the fewest whole chunks from a cut on, or up to a
+cut, that make ``MIN_WORDS`` words, or as much text without spaces. A window's
+digest decides. Its occurrence with the least (document, position) is the first
+and stays; the others are repeats, so every run of chunks of that length which
+stands anywhere earlier is found whole, and nothing else is: no window joins
+pieces of two places. A text too short for a window is one as a whole.
 """
 
 from __future__ import annotations
@@ -21,19 +26,24 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import short_batches
 from tessera.storage import persist
 
 GEAR_SEED, DIGEST_SEED = 7, 0
-REACH, LONGEST = 3, 512
-#: Words a span must have. Chance repeats of common words stay below it, and a
+REACH, FAR, LONGEST = 3, 24, 512
+#: Words a window must have. Chance repeats of common words stay below it, and a
 #: repeated passage of over 50 words has whole chunks of more than it.
 MIN_WORDS = 16
-#: Bytes and chunks of a block that is chunked at once.
-BLOCK_BYTES, BLOCK_CHUNKS = 4_000_000, 1_000_000
+#: Characters that do as well, for text without spaces; one of three bytes or more counts thrice.
+MIN_WEIGHT = 128
+#: Text of a block that is chunked at once.
+BLOCK_BYTES = 4_000_000
+#: Rows of one digest that one task should hold at most; digests with more are split.
+HOT, SPLIT, MOST_HOT = 4096, 64, 10_000
 
 
 @lru_cache(1)
@@ -58,6 +68,15 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _minima(h: np.ndarray, reach: int) -> np.ndarray:
+    """Which values are less than all others up to ``reach`` places away."""
+    least = np.ones(len(h), dtype=bool)
+    for d in range(1, min(reach, len(h) - 1) + 1):
+        least[d:] &= h[d:] < h[:-d]
+        least[:-d] &= h[:-d] < h[d:]
+    return least
+
+
 def cuts(data: bytes) -> np.ndarray:
     """Where chunks of one text begin and the last one ends: 0, ..., len(data)."""
     n = len(data)
@@ -68,92 +87,120 @@ def cuts(data: bytes) -> np.ndarray:
     begins = np.zeros(n, dtype=bool)
     begins[1:] = (space[:-1] & ~space[1:]) | (raw[1:] >= 0xE0)
     at = np.flatnonzero(begins)
-    found = np.empty(0, dtype=np.int64)
-    if len(at):
-        h = gear_hashes(raw)[np.minimum(at + 7, n - 1)].astype(np.int32)  # the hash sees the next eight bytes and eight before
-        least = np.ones(len(at), dtype=bool)
-        for d in range(1, REACH + 1):
-            least[d:] &= h[d:] < h[:-d]
-            least[:-d] &= h[:-d] < h[d:]
-        found = at[least]
-    edges = np.concatenate(([0], found, [n]))
+    h = gear_hashes(raw)
+    seen = lambda at: h[np.minimum(at + 7, n - 1)]  # noqa: E731  the next eight bytes and eight before
+    edges = np.concatenate(([0], at[_minima(seen(at), REACH)], [n]))
     if (np.diff(edges) > LONGEST).any():
-        more = []
+        more = [edges]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            for x in range(a + LONGEST, b, LONGEST):
-                while x > a and raw[x] & 0xC0 == 0x80:  # not within a character
-                    x -= 1
-                more.append(x)
-        edges = np.union1d(edges, np.array(more, dtype=np.int64))
+            if b - a > LONGEST:
+                place = a + 1 + np.flatnonzero(raw[a + 1 : b] & 0xC0 != 0x80)
+                inner = place[_minima(seen(place), FAR)]
+                more += [inner, _even(raw, np.concatenate(([a], inner, [b])))]
+        edges = np.unique(np.concatenate(more))
     return edges
 
 
-def _digests(data: bytes, edges: np.ndarray) -> list[int]:
-    ends = edges.tolist()
+def _even(raw: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Cuts every ``LONGEST`` bytes, not within a character, between edges that are further apart."""
+    more = []
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        for x in range(a + LONGEST, b, LONGEST):
+            while x > a and raw[x] & 0xC0 == 0x80:
+                x -= 1
+            more.append(x)
+    return np.array(more, dtype=np.int64)
+
+
+def windows(data: bytes, min_words: int = MIN_WORDS) -> np.ndarray:
+    """One row a window of a text: its begin and end, and the words that begin before either.
+
+    The end includes white space that follows.
+    """
+    edges = cuts(data)
+    last = len(edges) - 1
+    raw = np.frombuffer(data, dtype=np.uint8)
+    space = _space()[raw]
+    if space.all():
+        return np.empty((0, 4), dtype=np.int64)
+    starts = ~space & np.concatenate(([True], space[:-1]))
+    words = np.concatenate(([0], np.cumsum(starts)))[edges]
+    heavy = np.concatenate(([0], np.cumsum((raw & 0xC0 != 0x80) + 2 * (raw >= 0xE0))))[edges]
+    least_weight = MIN_WEIGHT * min_words // MIN_WORDS
+    here = np.arange(last)
+    # The least end of a window from each chunk on, and the greatest begin of one up to each cut.
+    end = np.minimum(np.searchsorted(words, words[:-1] + min_words), np.searchsorted(heavy, heavy[:-1] + least_weight))
+    begin = np.maximum(np.searchsorted(words, words[1:] - min_words, side="right"), np.searchsorted(heavy, heavy[1:] - least_weight, side="right")) - 1
+    fits, reaches = end <= last, begin >= 0
+    pairs = np.unique(np.concatenate((here[fits] * (last + 1) + end[fits], begin[reaches] * (last + 1) + here[reaches] + 1)))
+    if not len(pairs):
+        pairs = np.array([last])
+    begin, end = np.divmod(pairs, last + 1)
+    at = edges[begin]
+    at[begin == 0] = int(np.argmin(space))  # white space at a text's begin is not in its first chunk
+    return np.column_stack((at, edges[end], words[begin], words[end]))
+
+
+def digests(data: bytes, found: np.ndarray) -> list[int]:
+    """A digest of each window, without the white space at its end."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    kept = np.maximum.accumulate(np.where(_space()[raw], 0, np.arange(1, len(raw) + 1)))
     digest = xxhash.xxh3_64_intdigest
-    return [digest(data[a:b].rstrip(), DIGEST_SEED) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return [digest(data[a:b], DIGEST_SEED) for a, b in zip(found[:, 0].tolist(), kept[found[:, 1] - 1].tolist(), strict=True)]
 
 
-_CHUNKS = "digest long, doc_id long, text_hash long, at long, until long, words int, known boolean, first_doc long, first_hash long, first_at long"
+_WINDOWS = "digest long, block long, doc_id long, text_hash long, at int, until int, words_at int, words_until int, state byte"
+#: States of a window: the only one of its digest in its block, the first of several, another.
+_ALONE, _FIRST, _KNOWN = 0, 1, 2
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """The chunks of every text of ``docs`` (doc_id, text), each task's own repeats marked.
+def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The windows of every text of ``docs`` (doc_id, text).
 
-    Of all occurrences of a digest that a block of texts has, only the first
-    is left open (``known`` is false). The others are repeats for certain,
-    with that one as an earlier occurrence, so that however often a digest
-    occurs, a block sends it once to where digests meet.
+    Of all occurrences of a digest that a block of texts has, all but the
+    first are repeats for certain, so that however often a digest occurs, a
+    block sends it once to where digests meet.
     """
 
-    def block(ids: list[int | None], hashes: list[int], texts: list[str]) -> pa.RecordBatch:
-        digest, doc, at, until, words = [], [], [], [], []
-        for i, text in enumerate(texts):
+    def block(number: int, ids: list[int | None], hashes: list[int], texts: list[str]) -> pa.RecordBatch:
+        digest, parts = [], [np.empty((0, 4), dtype=np.int64)]
+        for text in texts:
             data = text.encode("utf-8", "surrogatepass")
-            edges = cuts(data)
-            digest += _digests(data, edges)
-            n = len(edges) - 1
-            doc.append(np.full(n, i))
-            at.append(edges[:-1])
-            until.append(edges[1:])
-            raw = np.frombuffer(data, dtype=np.uint8)
-            space = _space()[raw]
-            start = np.concatenate(([0], np.cumsum(~space & np.concatenate(([True], space[:-1])))))
-            words.append(start[edges[1:]] - start[edges[:-1]])
-        none = np.empty(0, dtype=np.int64)
-        digests = np.array(digest, dtype=np.uint64).view(np.int64)
-        doc, at, until, words = (np.concatenate([none, *x]).astype(np.int64) for x in (doc, at, until, words))
-        # Texts in order of (doc_id, hash), null ids first, for "least".
-        rank = np.empty(len(ids), dtype=np.int64)
-        for k, i in enumerate(sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0, hashes[i]))):
-            rank[i] = k
-        order = np.lexsort((at, rank[doc], digests))
-        digests, doc, at, until, words = digests[order], doc[order], at[order], until[order], words[order]
-        head = np.concatenate(([True], digests[1:] != digests[:-1])) if len(digests) else np.empty(0, bool)
-        first = np.maximum.accumulate(np.where(head, np.arange(len(digests)), 0))
+            parts.append(windows(data, min_words))
+            digest += digests(data, parts[-1])
+        doc = np.repeat(np.arange(len(texts)), [len(x) for x in parts[1:]])
+        found = np.concatenate(parts)
+        digest = np.array(digest, dtype=np.uint64).view(np.int64)
+        # Texts in order of (doc_id, hash), null ids first, for "least"; rows alike are one text.
+        names = [(x is not None, x or 0, h) for x, h in zip(ids, hashes, strict=True)]
+        number_of = {name: i for i, name in enumerate(sorted(set(names)))}
+        rank = np.fromiter((number_of[x] for x in names), np.int64, len(names))[doc]
+        order = np.lexsort((found[:, 0], rank, digest))
+        head = np.ones(len(order), dtype=bool)
+        head[1:] = digest[order[1:]] != digest[order[:-1]]
+        first = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        again = (rank[order] == rank[first]) & (found[order, 0] == found[first, 0]) & ~head  # the same place of a repeated row
+        state = np.zeros(len(order), dtype=np.int8)
+        state[order[~head]] = _KNOWN
+        state[first[~head & ~again]] = _FIRST
+        keep = np.ones(len(order), dtype=bool)
+        keep[order[again]] = False
+        doc, found = doc[keep], found[keep]
         id_array = np.array([x or 0 for x in ids], dtype=np.int64)
         null = np.array([x is None for x in ids], dtype=bool)
-        hash_array = np.array(hashes, dtype=np.int64)
-        # The same place of a repeated row is no repeat.
-        same = (id_array[doc] == id_array[doc[first]]) & (null[doc] == null[doc[first]]) & (hash_array[doc] == hash_array[doc[first]]) & (at == at[first])
-        keep = head | ~same
-        source = doc[first]
         columns = [
-            pa.array(digests[keep]),
-            pa.array(id_array[doc][keep], mask=null[doc][keep]),
-            pa.array(hash_array[doc][keep]),
-            pa.array(at[keep]),
-            pa.array(until[keep]),
-            pa.array(words[keep].astype(np.int32)),
-            pa.array(~head[keep]),
-            pa.array(id_array[source][keep], mask=null[source][keep]),
-            pa.array(hash_array[source][keep]),
-            pa.array(at[first][keep]),
+            pa.array(digest[keep]),
+            pa.array(np.full(len(doc), number)),
+            pa.array(id_array[doc], mask=null[doc]),
+            pa.array(np.array(hashes, dtype=np.int64)[doc]),
+            *(pa.array(found[:, i].astype(np.int32)) for i in range(4)),
+            pa.array(state[keep]),
         ]
-        return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _CHUNKS.split(", ")])
+        return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _WINDOWS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, texts, size = [], [], [], 0
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 ids.append(doc_id)
@@ -161,42 +208,118 @@ def chunks(docs: DataFrame) -> DataFrame:
                 texts.append(text)
                 size += len(text)
                 if size >= BLOCK_BYTES:
-                    yield block(ids, hashes, texts)
+                    yield block(number, ids, hashes, texts)
                     ids, hashes, texts, size = [], [], [], 0
+                    number += 1
         if ids:
-            yield block(ids, hashes, texts)
+            yield block(number, ids, hashes, texts)
 
     short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    return rows.filter("text <> ''").mapInArrow(run, _CHUNKS)
+    return rows.filter("text <> ''").mapInArrow(run, _WINDOWS)
+
+
+_PLACE = ("doc_id", "text_hash", "at")
+
+
+def _with_first(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with the least place that each one's digest has.
+
+    A digest has one row a block, so a task holds as many rows as there are
+    blocks at most. Where those are more than ``HOT``, digests that a sample
+    of the blocks has too often are split: their rows first meet in ``SPLIT``
+    parts, and what is least in one of those meets in a second step. The
+    sample decides how the work is done, never what comes out.
+    """
+    place = F.struct(*_PLACE)
+    least = lambda df, *by: df.withColumn("first", F.min(place).over(Window.partitionBy("digest", *by)))
+    if blocks <= HOT:
+        return least(rows)
+    every = blocks // HOT
+    often = rows.filter(F.pmod(F.xxhash64("block"), F.lit(every)) == 0).groupBy("digest").count().filter(F.col("count") > HOT // 2)
+    # At most MOST_HOT rows: small enough to broadcast.
+    hot = F.broadcast(persist(often.orderBy(F.desc("count"), "digest").limit(MOST_HOT).select("digest"), "hot-digests"))
+    split = rows.join(hot, "digest").withColumn("part", F.pmod(F.xxhash64("block"), F.lit(SPLIT)))
+    split = persist(least(split, "part").withColumnRenamed("first", "part_first").drop("part"), "hot-windows")
+    # SPLIT rows a digest at most: bounded by MOST_HOT * SPLIT, joined back without a sort of the hot side.
+    firsts = split.groupBy("digest").agg(F.min("part_first").alias("first"))
+    return least(rows.join(hot, "digest", "left_anti")).unionByName(split.drop("part_first").join(F.broadcast(firsts), "digest").select(*rows.columns, "first"))
+
+
+def _repeated(docs: DataFrame, min_words: int) -> DataFrame:
+    """The windows that stand earlier too, with the least place of each (``first``)."""
+    found = persist(occurrences(docs, min_words), "windows")
+    blocks = found.agg(F.approx_count_distinct("block")).first()[0]
+    opened = _with_first(found.filter(F.col("state") < _KNOWN), blocks)
+    stay = ~F.struct(*_PLACE).eqNullSafe(F.col("first"))
+    opened = persist(opened.filter(stay | (F.col("state") == _FIRST)), "window-firsts")
+    columns = [*_PLACE, "until", "words_at", "words_until", "first"]
+    # Joined within a block: no digest is hot there.
+    of_block = opened.filter(F.col("state") == _FIRST).select("block", "digest", "first")
+    known = found.filter(F.col("state") == _KNOWN).join(of_block, ["block", "digest"])
+    return opened.filter(stay).select(columns).unionByName(known.select(columns)).distinct()
+
+
+_TEXT = ["doc_id", "text_hash"]
+
+
+def _spans(docs: DataFrame, min_words: int) -> DataFrame:
+    """``spans`` of each text that has some: windows joined where they and their sources overlap or touch."""
+    rows = _repeated(docs, min_words).select(
+        *_TEXT, "at", "until", "words_at", "words_until", F.col("first.doc_id").alias("source"), F.col("first.text_hash").alias("source_hash"), (F.col("at") - F.col("first.at")).alias("apart")
+    )
+    by = [*_TEXT, "source", "source_hash", "apart"]
+    order = Window.partitionBy(*by).orderBy("at", "until")
+    begins = (F.col("at") > F.coalesce(F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
+    joined = rows.withColumn("begins", begins).withColumn("span", F.sum("begins").over(order)).groupBy(*by, "span")
+    joined = joined.agg(F.min("at").alias("span_start"), F.max("until").alias("span_end"), F.min("words_at").alias("words_at"), F.max("words_until").alias("words_until"))
+    span = F.struct("span_start", "span_end", "words_at", "words_until", F.col("source").alias("first_doc_id"), (F.col("span_start") - F.col("apart")).alias("first_start"))
+    texts = persist(joined.groupBy(*_TEXT).agg(F.array_sort(F.collect_list(span)).alias("spans")), "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = pa.array([_worthwhile(x, min_words) for x in batch.column(2).to_pylist()], batch.column(2).type)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], spans], batch.schema.names)
+
+    several = texts.filter(F.size("spans") > 1).mapInArrow(run, texts.schema)
+    return texts.filter(F.size("spans") == 1).unionByName(several)
+
+
+def _worthwhile(spans: list[dict], min_words: int) -> list[dict]:
+    """The spans that add a window's length to longer ones; a common word after a common passage does not."""
+    edges = sorted({(s["span_start"], s["words_at"]) for s in spans} | {(s["span_end"], s["words_until"]) for s in spans})
+    place = {at: i for i, (at, _) in enumerate(edges)}
+    size, words = np.diff([a for a, _ in edges]), np.diff([w for _, w in edges])
+    free = np.ones(len(size), dtype=bool)
+    kept = []
+    for s in sorted(spans, key=lambda s: (s["words_at"] - s["words_until"], s["span_start"] - s["span_end"], s["span_start"])):
+        own = slice(place[s["span_start"]], place[s["span_end"]])
+        adds = free[own]
+        if adds.all() or words[own][adds].sum() >= min_words or size[own][adds].sum() >= 2 * MIN_WEIGHT:
+            kept.append(s)
+            free[own] = False
+    return sorted(kept, key=lambda s: (s["span_start"], s["span_end"]))
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Spans of texts that repeat an earlier place, of ``min_words`` words or more.
-
-    One row a span: doc_id, text_hash (xxhash64 of the text), span_start and
-    span_end (bytes of the UTF-8 text), n_words, and first_doc_id,
-    first_start: an earlier place where a chunk of it stands. "Earlier" is by
-    (doc_id, text_hash, byte), null ids first; repeats within a text count.
-    Rows alike in id and text are one document. Null and empty texts have no
-    span; a table without repeats gives an empty result.
+    """Spans of texts that stand at an earlier place, of ``min_words`` words or more.
+
+    One row a span and source: doc_id, text_hash (xxhash64 of the text),
+    span_start and span_end (bytes of the UTF-8 text), n_words, and
+    first_doc_id, first_start: the least place where its windows stand, all at
+    one distance, so the text there is the same (but for the kind of white
+    space between windows and at the span's end). Spans of different sources
+    may overlap, but one that adds less than a window to longer ones is left
+    out. "Earlier" is by (doc_id, text_hash, byte), null ids first; repeats
+    within a text count. Spans of text without spaces may have fewer words,
+    and a shorter text that is repeated as a whole is a span too. Rows alike
+    in id and text are one document. Null and empty texts have no span; a
+    table without repeats gives an empty result. A very long text costs some
+    twenty times its size in memory. Other columns are left out.
     """
-    found = persist(chunks(docs), "chunks")
-    place = F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), F.col("at").alias("a"))
-    # A digest has one open row a block, so these groups grow with blocks, not with repeats.
-    opened = found.filter("not known").withColumn("first", F.min(place).over(Window.partitionBy("digest"))).filter(~place.eqNullSafe(F.col("first")))
-    columns = ["doc_id", "text_hash", "at", "until", "words"]
-    later = opened.select(*columns, F.col("first.d").alias("first_doc"), F.col("first.a").alias("first_at"))
-    known = found.filter("known").select(*columns, "first_doc", "first_at")
-    # Two rows alike may have sent one chunk twice, from two blocks.
-    rows = later.unionByName(known).groupBy("doc_id", "text_hash", "at", "until", "words").agg(F.min(F.struct("first_doc", "first_at")).alias("f"))
-    text = Window.partitionBy("doc_id", "text_hash").orderBy("at")
-    begins = (F.col("at") != F.coalesce(F.lag("until").over(text), F.lit(-1))).cast("int")
-    spans = rows.withColumn("begins", begins).withColumn("span", F.sum("begins").over(text)).groupBy("doc_id", "text_hash", "span")
-    out = spans.agg(
-        F.min("at").alias("span_start"), F.max("until").alias("span_end"), F.sum("words").cast("long").alias("n_words"), F.min("f").alias("f")
-    ).filter(F.col("n_words") >= min_words)
-    return out.select("doc_id", "text_hash", "span_start", "span_end", "n_words", F.col("f.first_doc").alias("first_doc_id"), F.col("f.first_at").alias("first_start"))
+    return _spans(docs, min_words).select(*_TEXT, F.inline("spans")).select(
+        *_TEXT, "span_start", "span_end", (F.col("words_until") - F.col("words_at")).cast("long").alias("n_words"), "first_doc_id", "first_start"
+    )
 
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -207,14 +330,13 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     anew for texts that were cut.
     """
     names = docs.columns
-    spans = repeats(docs.select("doc_id", "text"), min_words).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    cut_list = persist(spans.agg(F.array_sort(F.collect_list(F.struct("span_start", "span_end"))).alias("_spans")), "spans")
+    cut_list = _spans(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), _merged(F.col("spans")).alias("_spans"))
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
     joined = row.join(cut_list, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
     text = F.when(F.col("_spans").isNull(), F.col("_row.text")).otherwise(_without(F.encode("_row.text", "utf-8"), F.col("_spans")))
     out = joined.select("_row", "_spans", text.alias("_new"))
 
-    def column(name: str):
+    def column(name: str) -> Column:
         if name == "text":
             return F.col("_new").alias("text")
         old = F.col(f"_row.`{name}`")
@@ -226,7 +348,23 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out.select(*map(column, names))
 
 
-def _without(data, spans):
+def _merged(spans: Column) -> Column:
+    """Sorted spans with those that overlap or touch made one."""
+    pair = "array<struct<span_start:int,span_end:int>>"
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        one = F.struct(s["span_start"].alias("span_start"), s["span_end"].alias("span_end"))
+        joined = F.struct(last["span_start"].alias("span_start"), F.greatest(last["span_end"], s["span_end"]).alias("span_end"))
+        apart = (F.size(done) == 0) | (s["span_start"] > last["span_end"])
+        return F.when(apart, F.concat(done, F.array(one))).otherwise(F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined)))
+
+    return F.when(F.size(spans) == 1, F.transform(spans, lambda s: F.struct(s["span_start"].alias("span_start"), s["span_end"].alias("span_end")))).otherwise(
+        F.aggregate(spans, F.array().cast(pair), add)
+    )
+
+
+def _without(data: Column, spans: Column) -> Column:
     """The text of ``data`` (bytes) outside sorted spans: the gaps between them joined."""
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["span_end"]))
     begins = F.concat(F.transform(spans, lambda s: s["span_start"]), F.array(F.octet_length(data).cast("long")))
