@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import short_batches
+from tessera.llm.common import short_batches, with_fields
 from tessera.llm.memo import Memo
 
 #: Entries of each half of a worker's memos of units and pieces of text.
@@ -210,8 +210,11 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, keep: list[str],
 
     Adds n_tokens, ids_sha256 (of the decimal ids joined by commas),
     decoded_sha256 (of the bytes that the ids decode to) and, on request, the
-    ids themselves. A null text is encoded as an empty one: no ids. ``ranks``
-    is a path that every machine can open; other columns are left out.
+    ids themselves. A null text is encoded as an empty one: no ids. Repeated
+    rows are encoded each; an empty table gives an empty result. A very long
+    text is encoded unit by unit and costs some fifty times its size in
+    memory, mostly its ids. ``ranks`` is a path that every machine can open;
+    other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,8 +239,8 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, keep: list[str],
 
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("_text"), *keep)
-    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "n_tokens long, ids_sha256 string, decoded_sha256 string"]
-    return rows.mapInArrow(run, ", ".join([*schema, *["ids array<int>"] * with_ids]))
+    added = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return rows.mapInArrow(run, with_fields(rows, rows.columns[1:], added))
 
 
 def _running(counts: list[int]) -> Iterator[int]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from tessera.storage import discard, persist, release
+
 #: Bytes of an Arrow batch, whatever its number of rows; one longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 #: Bytes of an input, as its files hold it, for each partition of its shuffles.
@@ -58,14 +59,21 @@ def id_remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(col.cast("string")), F.lit(modulus))
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[pa.RecordBatch]]:
-    """Batches in lists of about ``size`` bytes or one batch."""
-    held, total = [], 0
-    for batch in batches:
-        held.append(batch)
-        total += batch.nbytes
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+def keep_least(docs: DataFrame, near_duplicates: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of ``docs`` whose name is the least of their component, one of each name.
+
+    A row is named by doc_id, nulls last, and by a hash of all it holds;
+    ``near_duplicates`` gives (k, component) for a table (k, text).
+    """
+    names = docs.columns
+    name = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), content_hash(docs, names).alias("h"))
+    ranked = docs.select(name.alias("k"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
+    marked = persist(near_duplicates(ranked.select("k", "text")), "marked")
+    counts = marked.groupBy("k").agg(F.count("*").alias("rows"), F.min("component").alias("component"))
+    # Most rows stay and are the only ones of their name: the list of the others decides, and is short.
+    other = persist(counts.filter((F.col("rows") > 1) | (F.col("k") != F.col("component"))), "others")
+    discard(marked)
+    release(docs.sparkSession)
+    repeated = other.filter(F.col("k") == F.col("component")).select("k")
+    one = ranked.join(repeated, "k", "left_semi").groupBy("k").agg(F.first("_row").alias("_row"))
+    return ranked.join(other, "k", "left_anti").select("_row.*").unionByName(one.select("_row.*"))

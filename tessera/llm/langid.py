@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_remainder, short_batches
+from tessera.llm.common import id_remainder, short_batches, with_fields
 
 DIMENSIONS = 1024
 SEED = 20_241
@@ -168,7 +168,9 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     the score 0 where the text is null, empty or without a letter, or where no
     language was learnt; of equal cosines the first language by name wins.
     Columns of ``docs`` that ``keep`` doesn't list are left out, so their
-    names can't clash.
+    names can't clash. Repeated rows are labelled each; an empty table gives
+    an empty result. A very long text is counted in one piece and costs some
+    thirty times its size in memory.
     """
     names, prototypes = model
 
@@ -192,15 +194,15 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
 
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("_text"), *keep)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "lang_pred string, score double"])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, with_fields(rows, rows.columns[1:], "lang_pred string, score double"))
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2) -> DataFrame:
     """Learn from the rows outside one fold of ``doc_id`` and label every row.
 
     A row is held out when crc32 of its id modulo ``folds`` is ``held_out``;
-    rows with a null id are not. Repeated rows are labelled each.
+    rows with a null id are not. Repeated rows are labelled each, nulls and
+    empty tables as in ``predict``.
     """
     is_out = F.coalesce(id_remainder("doc_id", folds) == held_out, F.lit(False))
     model = fit(docs.filter(~is_out))

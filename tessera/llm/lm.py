@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import id_remainder, short_batches
@@ -348,7 +348,9 @@ def score(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
     rows with a null id are not. A null text counts as an empty one, which is
     one token, the end. Repeated rows count and are scored each. With nothing
     to learn from, every byte is equally likely; an empty table gives an empty
-    result. Other columns are left out.
+    result. A very long text costs some sixty times its size in memory, in the
+    block of ``BLOCK_BYTES`` or more that it is dealt to. Other columns are
+    left out.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -363,13 +365,14 @@ def score(docs: DataFrame, folds: int = 10, held_out: int = 0) -> DataFrame:
     gram_answer = counted.filter("kind = 1").select("block", "key").join(predicted, "key").select("block", F.lit(0).alias("kind"), "key", F.col("p").alias("value"))
     gram_answer = persist(gram_answer, "lm-block-grams")
     discard(predicted)
-    # A word has one row a block at most, so no group here grows with the word's count.
-    word = Window.partitionBy("key")
-    asked = counted.filter("kind = 0").select("block", "key", F.sum("n").over(word).alias("c"), (F.min("block").over(word) == F.col("block")).alias("first"))
-    asked = persist(asked, "lm-words")
+    # A word has one row a block at most; they are summed before they meet, and a word that every block has splits in the join.
+    words = counted.filter("kind = 0")
+    totals = persist(words.groupBy("key").agg(F.sum("n").alias("c")).filter("c > 0"), "lm-word-totals")
+    asked = persist(words.select("block", "key").join(totals, "key").select("block", "key", "c"), "lm-words")
     discard(counted)
     release(spark)
-    sums = asked.filter("first and c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    sums = totals.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    discard(totals)
     total, distinct = (sums["n"] or 0) + train_docs, sums["v"] + (train_docs > 0)
     bottom = math.log10(total + SMOOTHING * (distinct + 1))
     missed, ended = math.log10(SMOOTHING) - bottom, math.log10(train_docs + SMOOTHING) - bottom

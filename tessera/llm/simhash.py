@@ -15,17 +15,17 @@ sends on is a spanning forest of its links, never its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import short_batches
+from tessera.llm.common import keep_least, short_batches, with_fields
 from tessera.llm.components import components
 from tessera.storage import persist
 
@@ -55,8 +55,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     size = min(shingle, len(words))
     grams = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
     digest, n = xxhash.xxh64_intdigest, len(words) - size + 1
-    hashes = np.fromiter((digest(g, seed) for g in grams), dtype=np.uint64, count=n)
-    ones = np.zeros(BITS, dtype=np.int64)
+    return majority(np.fromiter((digest(g, seed) for g in grams), dtype=np.uint64, count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
+    n, ones = len(hashes), np.zeros(BITS, dtype=np.int64)
     for a in range(0, n, BLOCK):
         ones += np.unpackbits(hashes[a : a + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
@@ -72,8 +76,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
 
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("_text"), *keep)
-    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]), "fp long"]
-    return rows.mapInArrow(run, ", ".join(schema))
+    return rows.mapInArrow(run, with_fields(rows, rows.columns[1:], "fp long"))
 
 
 def masks(n: int, budget: int = BUDGET) -> list[int]:
@@ -114,67 +117,95 @@ class _Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
+def meet(fp: np.ndarray, starts: np.ndarray, budget: int, needless: Callable[..., np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within each group whose values differ in ``budget`` bits at most.
+
+    ``fp`` holds uint64 values, sorted within each group; group g is
+    ``fp[starts[g]:starts[g + 1]]``. The traversal of all groups' tries in
+    pairs of nodes; a node is a range of places, and pairs of nodes for which
+    ``needless(lo, hi, lo2, hi2)`` holds are dropped with all below them.
+    """
+    whole = np.flatnonzero(np.diff(starts) > 1)
+    stack = [(starts[whole], starts[whole + 1], starts[whole], starts[whole + 1], np.zeros(len(whole), np.int8), np.full(len(whole), BITS - 1, np.int8))]
+    while stack:
+        alo, ahi, blo, bhi, err, bit = stack.pop()
+        if len(alo) > FRONTIER:  # the deep half goes first, so few pairs wait at a time
+            half = len(alo) // 2
+            stack.append(tuple(x[:half] for x in (alo, ahi, blo, bhi, err, bit)))
+            alo, ahi, blo, bhi, err, bit = (x[half:] for x in (alo, ahi, blo, bhi, err, bit))
+        single = (ahi - alo == 1) & (bhi - blo == 1)
+        if single.any():
+            a, b = alo[single], blo[single]
+            near = (np.bitwise_count(fp[a] ^ fp[b]) <= budget) & (a != b)
+            if near.any():
+                yield a[near], b[near]
+            alo, ahi, blo, bhi, err, bit = (x[~single] for x in (alo, ahi, blo, bhi, err, bit))
+        alike = bit < 0  # equal values: every place of one with every place of the other
+        if alike.any():
+            yield from _all_pairs(alo[alike], ahi[alike], blo[alike], bhi[alike])
+            alo, ahi, blo, bhi, err, bit = (x[~alike] for x in (alo, ahi, blo, bhi, err, bit))
+        if not len(alo):
+            continue
+        amid, bmid = _middle(fp, alo, ahi, bit), _middle(fp, blo, bhi, bit)
+        own = alo == blo  # a node with itself: its two halves, and the one with the other
+        pairs = (
+            (alo, amid, blo, bmid, 0, None),
+            (amid, ahi, bmid, bhi, 0, None),
+            (alo, amid, bmid, bhi, 1, None),
+            (amid, ahi, blo, bmid, 1, ~own),
+        )
+        made = []
+        for lo, hi, lo2, hi2, more, where in pairs:
+            e = err + np.int8(more)
+            keep = (lo < hi) & (lo2 < hi2) & (e <= budget)
+            keep &= ~((lo == lo2) & (hi - lo == 1))
+            if where is not None:
+                keep &= where
+            at = np.flatnonzero(keep)
+            at = at[~needless(lo[at], hi[at], lo2[at], hi2[at])]
+            made.append((lo[at], hi[at], lo2[at], hi2[at], e[at], bit[at] - np.int8(1)))
+        stack.append(tuple(np.concatenate(x) for x in zip(*made, strict=True)))
+
+
+def _all_pairs(lo: np.ndarray, hi: np.ndarray, lo2: np.ndarray, hi2: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of places of each pair of ranges, once each where a range meets itself."""
+    for a, b, c, d in zip(lo.tolist(), hi.tolist(), lo2.tolist(), hi2.tolist(), strict=True):
+        step = max(1, FRONTIER // max(1, d - c))
+        for x in range(a, b, step):
+            left, right = np.repeat(np.arange(x, min(x + step, b)), d - c), np.tile(np.arange(c, d), min(step, b - x))
+            once = left < right if a == c else slice(None)
+            yield left[once], right[once]
+
+
 def link_groups(fp: np.ndarray, starts: np.ndarray, budget: int = BUDGET, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Edges of a spanning forest of the links within each group.
 
-    ``fp`` holds uint64 values, sorted within each group; group g is
-    ``fp[starts[g]:starts[g + 1]]``, without repeats. With ``side`` (0 or 1 for
-    each value), only pairs with one value of either side need be linked.
+    ``fp`` and ``starts`` as in ``meet``, without repeats in a group. With
+    ``side`` (0 or 1 for each value), only pairs with one value of either side
+    need be linked.
     """
     n = len(fp)
     forest = _Forest(n)
     if n < 2:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    sided = None if side is None else np.concatenate(([0], np.cumsum(side)))
     # Links within one bit first: dense groups join up and later pairs fall away.
     for allowed in (1, budget):
         root = forest.roots()
         change = np.concatenate(([0], np.cumsum(root[1:] != root[:-1])))  # equal ends: one component
-        sided = None if side is None else np.concatenate(([0], np.cumsum(side)))
-        whole = np.flatnonzero(np.diff(starts) > 1)
-        stack = [(starts[whole], starts[whole + 1], starts[whole], starts[whole + 1], np.zeros(len(whole), np.int8), np.full(len(whole), BITS - 1, np.int8))]
-        while stack:
-            alo, ahi, blo, bhi, err, bit = stack.pop()
-            if len(alo) > FRONTIER:  # the deep half goes first, so few pairs wait at a time
-                half = len(alo) // 2
-                stack.append(tuple(x[:half] for x in (alo, ahi, blo, bhi, err, bit)))
-                alo, ahi, blo, bhi, err, bit = (x[half:] for x in (alo, ahi, blo, bhi, err, bit))
-            single = (ahi - alo == 1) & (bhi - blo == 1)
-            if single.any():
-                a, b = alo[single], blo[single]
-                near = np.bitwise_count(fp[a] ^ fp[b]) <= allowed
-                near &= a != b
-                if side is not None:
-                    near &= side[a] != side[b]
-                if near.any():
-                    forest.link(a[near], b[near])
-                rest = ~single
-                alo, ahi, blo, bhi, err, bit = (x[rest] for x in (alo, ahi, blo, bhi, err, bit))
-            if not len(alo):
-                continue
-            amid, bmid = _middle(fp, alo, ahi, bit), _middle(fp, blo, bhi, bit)
-            own = alo == blo  # a node with itself: its two halves, and the one with the other
-            pairs = (
-                (alo, amid, blo, bmid, 0, None),
-                (amid, ahi, bmid, bhi, 0, None),
-                (alo, amid, bmid, bhi, 1, None),
-                (amid, ahi, blo, bmid, 1, ~own),
-            )
-            made = []
-            for lo, hi, lo2, hi2, more, where in pairs:
-                e = err + np.int8(more)
-                keep = (lo < hi) & (lo2 < hi2) & (e <= allowed)
-                keep &= ~((lo == lo2) & (hi - lo == 1))
-                if where is not None:
-                    keep &= where
-                at = np.flatnonzero(keep)
-                lo, hi, lo2, hi2 = lo[at], hi[at], lo2[at], hi2[at]
-                united = (change[hi - 1] == change[lo]) & (change[hi2 - 1] == change[lo2]) & (root[lo] == root[lo2])
-                if sided is not None:
-                    ones, ones2 = sided[hi] - sided[lo], sided[hi2] - sided[lo2]
-                    united |= ((ones == 0) & (ones2 == 0)) | ((ones == hi - lo) & (ones2 == hi2 - lo2))
-                at, lo, hi, lo2, hi2 = at[~united], lo[~united], hi[~united], lo2[~united], hi2[~united]
-                made.append((lo, hi, lo2, hi2, e[at], bit[at] - np.int8(1)))
-            stack.append(tuple(np.concatenate(x) for x in zip(*made, strict=True)))
+
+        def needless(lo, hi, lo2, hi2, root=root, change=change):
+            out = (change[hi - 1] == change[lo]) & (change[hi2 - 1] == change[lo2]) & (root[lo] == root[lo2])
+            if sided is not None:
+                ones, ones2 = sided[hi] - sided[lo], sided[hi2] - sided[lo2]
+                out |= ((ones == 0) & (ones2 == 0)) | ((ones == hi - lo) & (ones2 == hi2 - lo2))
+            return out
+
+        for a, b in meet(fp, starts, allowed, needless):
+            if side is not None:
+                across = side[a] != side[b]
+                a, b = a[across], b[across]
+            forest.link(a, b)
     root = forest.roots()
     joined = np.flatnonzero(root != np.arange(n))
     return fp[joined], fp[root[joined]]
@@ -269,7 +300,8 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, key: str = "doc_id")
     Rows without a word (null, empty, white space) have fingerprint 0 and are
     linked like any other. A null key is no candidate for the least one.
     Repeated rows come out each, linked with one another. An empty table gives
-    an empty result. Other columns are left out.
+    an empty result. Other columns are left out. A very long text costs some
+    twenty times its size in memory while its shingles are hashed.
     """
     marked = persist(fingerprints(docs.select(F.col("text"), F.col(key)), [key]), "simhash")
     distinct = persist(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
@@ -293,11 +325,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     The row with the least (doc_id, hash of its content) of each component
     stays; a component of null ids only keeps one row too.
     """
-    names = docs.columns
-    row = F.struct(*(F.col(f"`{c}`") for c in names))
-    ranked = docs.select(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.xxhash64(*(F.col(f"`{c}`") for c in names)).alias("h")).alias("k"), "text", row.alias("_row"))
-    marked = near_duplicates(ranked.select("k", "text"), key="k")
-    # Repeated rows have one k: of each k that stays, one row does.
-    stay = marked.filter(F.col("k") == F.col("component")).select("k").distinct()
-    one = ranked.join(stay, "k").withColumn("_n", F.row_number().over(Window.partitionBy("k").orderBy("k"))).filter("_n = 1")
-    return one.select("_row.*")
+    return keep_least(docs, lambda texts: near_duplicates(texts, key="k").select("k", "component"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import short_batches
-from tessera.storage import persist
+from tessera.storage import discard, persist, release
 
 GEAR_SEED, DIGEST_SEED = 7, 0
 REACH, FAR, LONGEST = 3, 24, 512
@@ -149,7 +149,8 @@ def digests(data: bytes, found: np.ndarray) -> list[int]:
     return [digest(data[a:b], DIGEST_SEED) for a, b in zip(found[:, 0].tolist(), kept[found[:, 1] - 1].tolist(), strict=True)]
 
 
-_WINDOWS = "digest long, block long, doc_id long, text_hash long, at int, until int, words_at int, words_until int, state byte"
+#: ``place`` holds a window's begin and the words before it, ``size`` its length, words and state: the rows that are shuffled stay short.
+_WINDOWS = "digest long, block long, doc_id long, text_hash long, place long, size long"
 #: States of a window: the only one of its digest in its block, the first of several, another.
 _ALONE, _FIRST, _KNOWN = 0, 1, 2
 
@@ -193,8 +194,8 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             pa.array(np.full(len(doc), number)),
             pa.array(id_array[doc], mask=null[doc]),
             pa.array(np.array(hashes, dtype=np.int64)[doc]),
-            *(pa.array(found[:, i].astype(np.int32)) for i in range(4)),
-            pa.array(state[keep]),
+            pa.array(found[:, 0] << 32 | found[:, 2]),
+            pa.array((found[:, 1] - found[:, 0]) << 32 | (found[:, 3] - found[:, 2]) << 2 | state[keep]),
         ]
         return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _WINDOWS.split(", ")])
 
@@ -219,7 +220,8 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return rows.filter("text <> ''").mapInArrow(run, _WINDOWS)
 
 
-_PLACE = ("doc_id", "text_hash", "at")
+_TEXT = ("doc_id", "text_hash")
+_PLACE = (*_TEXT, "place")
 
 
 def _with_first(rows: DataFrame, blocks: int) -> DataFrame:
@@ -246,28 +248,43 @@ def _with_first(rows: DataFrame, blocks: int) -> DataFrame:
     return least(rows.join(hot, "digest", "left_anti")).unionByName(split.drop("part_first").join(F.broadcast(firsts), "digest").select(*rows.columns, "first"))
 
 
-def _repeated(docs: DataFrame, min_words: int) -> DataFrame:
-    """The windows that stand earlier too, with the least place of each (``first``)."""
+def _state() -> Column:
+    return F.col("size").bitwiseAND(F.lit(3))
+
+
+def _repeated(docs: DataFrame, min_words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The windows that stand earlier too, with the least place of each (``first``), and the tables they are read from."""
     found = persist(occurrences(docs, min_words), "windows")
     blocks = found.agg(F.approx_count_distinct("block")).first()[0]
-    opened = _with_first(found.filter(F.col("state") < _KNOWN), blocks)
+    opened = _with_first(found.filter(_state() < _KNOWN), blocks)
     stay = ~F.struct(*_PLACE).eqNullSafe(F.col("first"))
-    opened = persist(opened.filter(stay | (F.col("state") == _FIRST)), "window-firsts")
-    columns = [*_PLACE, "until", "words_at", "words_until", "first"]
+    opened = persist(opened.filter(stay | (_state() == _FIRST)), "window-firsts")
     # Joined within a block: no digest is hot there.
-    of_block = opened.filter(F.col("state") == _FIRST).select("block", "digest", "first")
-    known = found.filter(F.col("state") == _KNOWN).join(of_block, ["block", "digest"])
-    return opened.filter(stay).select(columns).unionByName(known.select(columns)).distinct()
+    of_block = opened.filter(_state() == _FIRST).select("block", "digest", "first")
+    known = found.filter(_state() == _KNOWN).join(of_block, ["block", "digest"])
+    columns = [*_PLACE, F.shiftright("size", 2).alias("size"), "first"]
+    rows = opened.filter(stay).select(columns).unionByName(known.select(columns)).distinct()
+    low = lambda name: F.col(name).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    high = lambda col: F.shiftright(col, 32).cast("int")
+    words = F.col("size").bitwiseAND(F.lit((1 << 30) - 1)).cast("int")
+    rows = rows.select(
+        *_TEXT,
+        high("place").alias("at"),
+        (high("place") + F.shiftright("size", 30).cast("int")).alias("until"),
+        low("place").alias("words_at"),
+        (low("place") + words).alias("words_until"),
+        F.col("first.doc_id").alias("source"),
+        F.col("first.text_hash").alias("source_hash"),
+        (high("place") - high(F.col("first.place"))).alias("apart"),
+    )
+    return rows, [found, opened]
 
 
-_TEXT = ["doc_id", "text_hash"]
 
 
 def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     """``spans`` of each text that has some: windows joined where they and their sources overlap or touch."""
-    rows = _repeated(docs, min_words).select(
-        *_TEXT, "at", "until", "words_at", "words_until", F.col("first.doc_id").alias("source"), F.col("first.text_hash").alias("source_hash"), (F.col("at") - F.col("first.at")).alias("apart")
-    )
+    rows, tables = _repeated(docs, min_words)
     by = [*_TEXT, "source", "source_hash", "apart"]
     order = Window.partitionBy(*by).orderBy("at", "until")
     begins = (F.col("at") > F.coalesce(F.max("until").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int")
@@ -275,6 +292,9 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
     joined = joined.agg(F.min("at").alias("span_start"), F.max("until").alias("span_end"), F.min("words_at").alias("words_at"), F.max("words_until").alias("words_until"))
     span = F.struct("span_start", "span_end", "words_at", "words_until", F.col("source").alias("first_doc_id"), (F.col("span_start") - F.col("apart")).alias("first_start"))
     texts = persist(joined.groupBy(*_TEXT).agg(F.array_sort(F.collect_list(span)).alias("spans")), "spans")
+    for read in tables:
+        discard(read)
+    release(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import similar
+from tessera.llm import simhash, similar
 
 
 def shingled(text):
@@ -33,7 +33,7 @@ def texts():
 @pytest.mark.parametrize("common", [1, 10**6])
 def test_pipeline_stage_keeps_one_of_each_group_by_brute_force(spark, monkeypatch, common):
     monkeypatch.setattr(similar, "COMMON", common)
-    monkeypatch.setattr(similar, "PAIRS", 64)
+    monkeypatch.setattr(simhash, "FRONTIER", 64)
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts())]
     sets = [shingled(t) for _, t, *_ in rows]
     least = list(range(len(rows)))
@@ -52,10 +52,14 @@ def test_pipeline_stage_keeps_one_of_each_group_by_brute_force(spark, monkeypatc
 def test_pairs_across_labels():
     rng = np.random.default_rng(1)
     gram, label = np.sort(rng.integers(0, 9, 200)), rng.integers(0, 4, 200)
-    label = label[np.lexsort((label, gram))]
+
     node, n, at = np.arange(200), np.full(200, 10), np.zeros(200, np.int64)
-    got = {(int(a), int(b)) for batch in similar._cross(gram, node, n, at, label) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
-    assert got == {(i, j) for i, j in combinations(range(200), 2) if gram[i] == gram[j] and label[i] != label[j]}
+    gram = gram[np.lexsort((label, gram))]
+    values = rng.integers(0, 2**63, 40)
+    fp = values[rng.integers(0, 40, 200)] ^ (1 << rng.integers(0, 60, 200))
+    near = lambda i, j: (int(fp[i]) ^ int(fp[j])).bit_count() <= similar.BUDGET
+    got = {(int(a), int(b)) for batch in similar._cross(gram, node, fp, n, at, label) for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)}
+    assert got == {(i, j) for i, j in combinations(range(200), 2) if gram[i] == gram[j] and label[i] != label[j] and near(i, j)}
 
 
 def test_odd_rows(odd, none):
