@@ -1,12 +1,14 @@
 """Intermediate tables in the folder that driver and executors share.
 
 The folder is the one the session names in ``spark.checkpoint.dir``. Only where
-a session names none (tests, a laptop) is a temporary folder made and set.
+a session on one machine names none (tests, a laptop) is a temporary folder
+made and set; on a cluster that is an error, as executors would not share it.
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import time
 import uuid
@@ -22,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError(f"{_SETTING} names no folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="tessera-")
