@@ -15,8 +15,12 @@ from tessera.functions import text
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key. Nulls form a key like any value."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+    """The first row of each key. Nulls form a key like any value.
+
+    Keys may be long texts: rows are grouped and sorted by a hash first, and
+    by the keys only where hashes agree.
+    """
+    w = Window.partitionBy(F.xxhash64(*keys), *keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 

@@ -38,6 +38,11 @@ def dominance(fused: DataFrame, first: str, second: str) -> DataFrame:
     return fused.withColumn("dominance", F.when(has & other, "both").when(has, first).when(other, second))
 
 
+def with_rank(ranked: DataFrame) -> DataFrame:
+    """Ranks 1 to n for the outcome of a top-k search, at most ``LIST_DEPTH`` rows."""
+    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+
+
 def search(mode: str, semantic: DataFrame, lexical: DataFrame, top: int = RRF_TOP) -> DataFrame:
     """V13: "vibe" and "twin" rank by vector alone, "find" fuses both lists."""
     if mode in ("vibe", "twin"):

@@ -74,3 +74,40 @@ def source_hits(keys: DataFrame, source: DataFrame, examples: int = 5) -> DataFr
     counts = marked.agg(F.count("*").alias("keys"), F.count_if("hit").alias("hits"))
     missed = marked.filter("not hit").orderBy("key").limit(examples).agg(F.sort_array(F.collect_list("key")).alias("missed"))
     return counts.crossJoin(missed)
+
+
+def lengths(df: DataFrame, column: str, source: str | None = None, source_column: str = "lyrics_source") -> DataFrame:
+    """How many texts there are, have one (from ``source``) and have none, and their average length."""
+    have = F.col(column).isNotNull() & (F.lit(True) if source is None else F.col(source_column) == source)
+    length = F.round(F.avg(F.when(have, F.length(column))), 4)
+    return df.agg(F.count("*").alias("total"), F.count_if(have).alias("found"), F.count_if(F.col(column).isNull()).alias("missing"), length.alias("avg_length"))
+
+
+def outcomes(df: DataFrame, value: str = "lyrics", reason: str = "reason") -> DataFrame:
+    """How many tries succeeded, found nothing or failed."""
+    kind = F.when(F.coalesce(F.col(value), F.lit("")) != "", "success").when(F.col(reason) == "no_results", "no_results").otherwise("error")
+    return df.groupBy(kind.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def merged_counts(df: DataFrame, group: str, gap: int = 3) -> DataFrame:
+    """By group the songs, those of several sources, with featured artists, and from the back catalogue."""
+    old = F.col("year") - F.col("original_year") > gap
+    return df.groupBy(group).agg(
+        F.count("*").alias("songs"), F.count_if(F.contains("source", F.lit(","))).alias("multi_source"),
+        F.count_if(F.col("featured_artists").isNotNull()).alias("featured"), F.count_if(old).alias("back_catalogue"),
+    )
+
+
+def language_mismatches(df: DataFrame, declared: str, detected: str) -> DataFrame:
+    """rows whose detected language, null if none was, isn't the declared one."""
+    return df.filter(~F.col(detected).eqNullSafe(F.col(declared)))
+
+
+def first_rows(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """K8: the first n rows in order, a work list."""
+    return df.orderBy(*order).limit(n)
+
+
+def random_rows(df: DataFrame, columns: list[str], n: int, seed: int = 0) -> DataFrame:
+    """K6: n rows in an order that looks random and that the rows and the seed alone decide."""
+    return df.orderBy(F.xxhash64(F.lit(seed), *columns), *columns).limit(n)

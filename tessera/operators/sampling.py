@@ -56,8 +56,13 @@ def arithmetic_key(column: str, seed: int = 0) -> Column:
 
 
 def stratified_sample(df: DataFrame, stratum: str, quota: dict[str, int], order: list[Column], total: int | None = None) -> DataFrame:
-    """Each stratum's first rows up to its quota; the rest of ``total`` from whatever is left."""
+    """Each stratum's first rows up to its quota; the rest of ``total`` from whatever is left.
+
+    No stratum gives more rows than the greatest quota or ``total``, a constant
+    that cuts each stratum before the shuffle.
+    """
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy(*order)))
+    ranked = ranked.filter(F.col("_rn") <= max([*quota.values(), total or 0]))
     taken = F.col("_rn") <= lookup(F.col(stratum), {k: float(v) for k, v in quota.items()}, 0.0)
     if total is None:
         return ranked.filter(taken).drop("_rn")

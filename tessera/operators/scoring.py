@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.storage import persist
 
 
 def lookup(value: Column, table: dict[str, float], default: float) -> Column:
@@ -23,10 +24,44 @@ def first_of(value: str | Column, seq: str = "seq") -> Column:
     return F.min_by(c, F.when(c.isNotNull(), F.col(seq)))
 
 
-def sources_in_order(source: str = "source", seq: str = "seq") -> Column:
-    """Distinct sources by first arrival, joined by ", "."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(source).alias("v"))))
-    return F.concat_ws(", ", F.array_distinct(F.transform(pairs, lambda p: p["v"])))
+def _union(scored: DataFrame, by: list[str], firsts: dict[str, str | Column], *more: tuple[Column, Column]) -> DataFrame:
+    """Records of each ``by`` as one: scores summed, first values, sources in order of first arrival.
+
+    Records are first summed up for each source, so however many a song has,
+    only one row a source is gathered. ``firsts`` are taken from the first
+    record that has a value; ``more`` are pairs of aggregates for either step.
+    """
+    first = lambda c: F.min(F.when(c.isNotNull(), F.struct(F.col("seq").alias("s"), c.alias("v"))))
+    columns = {name: F.col(c) if isinstance(c, str) else c for name, c in firsts.items()}
+    each = scored.groupBy(*by, "source").agg(
+        F.sum("score").alias("_score"), F.min("seq").alias("_seq"), *(first(c).alias(f"_{name}") for name, c in columns.items()), *(one for one, _ in more)
+    )
+    order = F.array_sort(F.collect_list(F.struct(F.col("_seq").alias("s"), F.col("source").alias("v"))))
+    return each.groupBy(*by).agg(
+        F.sum("_score").alias("combined_score"),
+        *(F.min(f"_{name}")["v"].alias(name) for name in columns),
+        F.concat_ws(", ", F.transform(order, lambda p: p["v"])).alias("source"),
+        F.min("_seq").alias("seq"),
+        *(other for _, other in more),
+    )
+
+
+def running_count(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``place``: 1, 2, ... within each ``by`` in order.
+
+    Rows are dealt by ranges of (by, order), so a group of any size lies in
+    many partitions; a row's place is its place in its partition plus the
+    group's rows in the partitions before, one number a partition.
+    """
+    ranged = persist(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(*by, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_part").alias("_of"), before.alias("_before"))
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    own = F.row_number().over(Window.partitionBy("_part", *by).orderBy(*order))
+    return ranged.withColumn("_own", own).join(base, same).withColumn("place", F.col("_own") + F.col("_before")).select(*df.columns, "place")
 
 
 def merge_canonical(df: DataFrame, preferred: str, order: tuple[str, ...], key: str = "key") -> DataFrame:
@@ -72,12 +107,10 @@ def year_union(df: DataFrame, weights: dict[str, float], default: float, n: int,
     A record's score is relative to the number of records its source has in
     the year. A source may add up twice but is listed once.
     """
-    size = F.count("*").over(Window.partitionBy("source", group))
-    scored = df.withColumn("score", text.rank_score(F.col("rank"), size) * lookup(F.col("source"), weights, default))
-    merged = scored.groupBy(group, key).agg(
-        F.sum("score").alias("combined_score"), first_of("artist").alias("artist"), first_of("title").alias("title"),
-        first_of("featured_artists").alias("featured_artists"), sources_in_order().alias("source"), F.min("seq").alias("seq"),
-    )
+    sizes = df.groupBy(F.col("source").alias("_of"), F.col(group).alias("_in")).agg(F.count("*").alias("_size"))
+    sized = df.join(sizes, F.col("source").eqNullSafe(F.col("_of")) & F.col(group).eqNullSafe(F.col("_in")))
+    scored = sized.withColumn("score", text.rank_score(F.col("rank"), F.col("_size")) * lookup(F.col("source"), weights, default))
+    merged = _union(scored, [group, key], {c: c for c in ("artist", "title", "featured_artists")})
     return top_n_per_group(merged, group, [F.desc(F.round("combined_score", 9)), F.col("seq")], n)
 
 
@@ -88,14 +121,11 @@ def genre_union(df: DataFrame, weights: dict[str, float], default: float, key: s
     arrival. Genre and year are the first ones.
     """
     valid = df.filter(F.col(key) != "|||")
-    unranked = F.col("rank").isNull()
-    place = F.sum(unranked.cast("int")).over(Window.partitionBy("source", "genre").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    norm = F.when(unranked, text.implicit_score(place)).otherwise(text.rank_score(F.col("rank"), F.col("list_length")))
-    return valid.withColumn("score", norm * lookup(F.col("source"), weights, default)).groupBy(key).agg(
-        F.sum("score").alias("combined_score"), first_of("artist").alias("artist"), first_of("title").alias("title"),
-        first_of("featured_artists").alias("featured_artists"), first_of("genre").alias("genre"), first_of("year").alias("year"),
-        sources_in_order().alias("source"),
-    )
+    ranked = valid.filter("rank is not null").withColumn("score", text.rank_score(F.col("rank"), F.col("list_length")))
+    placed = running_count(valid.filter("rank is null"), ["source", "genre"], ["seq"])
+    placed = placed.withColumn("score", text.implicit_score(F.col("place"))).drop("place")
+    scored = ranked.unionByName(placed).withColumn("score", F.col("score") * lookup(F.col("source"), weights, default))
+    return _union(scored, [key], {c: c for c in ("artist", "title", "featured_artists", "genre", "year")}).drop("seq")
 
 
 def viral_union(df: DataFrame, weights: dict[str, float], priority: dict[str, int], default: float, key: str = "key") -> DataFrame:
@@ -106,17 +136,16 @@ def viral_union(df: DataFrame, weights: dict[str, float], priority: dict[str, in
     original year is the first there is, and none where it equals the year.
     """
     p = lookup(F.col("source"), {k: float(v) for k, v in priority.items()}, 0.0)
-    marked = df.withColumn("_p", p).withColumn("_w", F.coalesce("norm_score", F.lit(0.5)) * lookup(F.col("source"), weights, default))
-    w = Window.partitionBy(key)
-    marked = marked.withColumn("_first", F.min("seq").over(w)).withColumn("_held", F.min_by("_p", "seq").over(w))
-    counts = (F.col("seq") == F.col("_first")) | (F.col("year").isNotNull() & (F.col("_p") > F.col("_held")))
-    year = F.max_by("year", F.when(counts, F.struct("_p", -F.col("seq"))))
-    merged = marked.groupBy(key).agg(
-        F.sum("_w").alias("combined_score"), first_of("artist").alias("artist"), first_of("title").alias("title"),
-        first_of("featured_artists").alias("featured_artists"), year.alias("year"), first_of("original_year").alias("original_year"),
-        sources_in_order().alias("source"),
+    scored = df.withColumn("_p", p).withColumn("score", F.coalesce("norm_score", F.lit(0.5)) * lookup(F.col("source"), weights, default))
+    held = F.struct(F.col("seq").alias("s"), F.col("_p").alias("p"), F.col("year").alias("y"))
+    best = F.when(F.col("year").isNotNull(), F.struct(F.col("_p").alias("p"), (-F.col("seq")).alias("s"), F.col("year").alias("y")))
+    merged = _union(
+        scored, [key], {c: c for c in ("artist", "title", "featured_artists", "original_year")},
+        (F.min(held).alias("_held"), F.min("_held").alias("_held")), (F.max(best).alias("_best"), F.max("_best").alias("_best")),
     )
-    return merged.withColumn("original_year", F.when(~F.col("original_year").eqNullSafe(F.col("year")), F.col("original_year")))
+    merged = merged.withColumn("year", F.when(F.col("_best.p") > F.col("_held.p"), F.col("_best.y")).otherwise(F.col("_held.y")))
+    original = F.when(~F.col("original_year").eqNullSafe(F.col("year")), F.col("original_year"))
+    return merged.select(key, "combined_score", "artist", "title", "featured_artists", "year", original.alias("original_year"), "source")
 
 
 def weeks_at_top(df: DataFrame, group: str, key: str = "key", least: int = 5) -> DataFrame:
@@ -127,10 +156,14 @@ def weeks_at_top(df: DataFrame, group: str, key: str = "key", least: int = 5) ->
 
 
 def average_rank(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Ranks by ascending value; ties share the mean of theirs."""
-    rank = F.rank().over(Window.partitionBy(group).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(group, value))
-    return df.withColumn("avg_rank", rank + (ties - 1) / F.lit(2.0))
+    """Ranks by ascending value; ties share the mean of theirs.
+
+    Ranks come from counts of distinct values, so no window holds a group's rows.
+    """
+    counts = df.groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy("_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counts.select("_g", "_v", (upto - (F.col("_n") - 1) / F.lit(2.0)).alias("avg_rank"))
+    return df.join(ranks, F.col(group).eqNullSafe(F.col("_g")) & F.col(value).eqNullSafe(F.col("_v"))).drop("_g", "_v")
 
 
 def forward_fill(df: DataFrame, group: str, order: list[str], value: Column) -> DataFrame:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.constants import LANGUAGE_BOOST, MAX_K, MIN_K, MULTILINGUAL, QUERY_LANGUAGES
 
-#: Query vectors of one broadcast; more go in blocks.
-QUERY_BLOCK = 256
+#: Query vectors of one broadcast, and of one product.
+QUERY_BLOCK, TILE = 16_384, 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,53 +48,72 @@ def topk(df: DataFrame, vector: list[float], k: int, id_column: str, vector_colu
 
 
 def topk_batch(df: DataFrame, queries: DataFrame, k: int, id_column: str, vector_column: str) -> DataFrame:
-    """The k best rows of every query (query_id, query_vector, query_language) in one pass.
-
-    A stated query set against all rows: queries come to the driver in blocks
-    of ``QUERY_BLOCK`` vectors, and each task multiplies a batch of rows with
-    a block and keeps k rows a query, so what is shuffled is k rows a query
-    and task.
+    """The k best rows of every query (query_id, query_vector, query_language), ties by id.
+
+    A stated query set against all rows: queries are read in blocks of
+    ``QUERY_BLOCK`` vectors, the size of one broadcast, and each block is one
+    pass over the rows. A task multiplies a batch of rows with some queries at
+    a time, takes each query's k best of the batch by a partial sort and
+    merges them into those it has, so what is shuffled is k rows a query and
+    task. Rows without a vector are no candidates.
     """
-    pieces = queries.select("query_id", "query_vector", "query_language").orderBy("query_id").toLocalIterator()
-    out, block = None, []
-
-    def search(found: list) -> DataFrame:
-        ids = [r["query_id"] for r in found]
-        q = np.array([r["query_vector"] for r in found], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        wanted = np.array([r["query_language"] for r in found], dtype=object)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best: list[pd.DataFrame] = [pd.DataFrame({"query_id": [], "id": [], "score": []})] * len(ids)
-            for pdf in batches:
-                if pdf.empty:
-                    continue
-                v = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
-                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-                language = pdf["language"].to_numpy()
-                scores = q @ v.T
-                for i, row in enumerate(scores):
-                    if wanted[i] is not None:
-                        row = row + np.where(language == wanted[i], LANGUAGE_BOOST, 0.0)
-                    part = pd.DataFrame({"query_id": ids[i], "id": pdf["id"].to_numpy(), "score": row.round(6)})
-                    both = part if best[i].empty else pd.concat([best[i], part])
-                    best[i] = both.sort_values(["score", "id"], ascending=[False, True]).head(k)
-            yield from (b for b in best if not b.empty)
-
-        rows = df.filter(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector_column).alias("vector"), F.col("language"))
-        return rows.mapInPandas(run, "query_id long, id long, score double")
-
-    for row in pieces:
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = (search(block) if out is None else out.unionByName(search(block))), []
-    if block or out is None:
-        found = search(block) if block else df.sparkSession.createDataFrame([], "query_id long, id long, score double")
-        out = found if out is None else out.unionByName(found)
+    spark = df.sparkSession
+    rows = df.filter(F.col(vector_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(vector_column).alias("vector"), F.col("language"))
+    out = spark.createDataFrame([], "query_id long, id long, score double")
+    block = []
+    for row in chain(queries.select("query_id", "query_vector", "query_language").toLocalIterator(), [None]):
+        if row is not None:
+            block.append(row)
+        if block and (row is None or len(block) == QUERY_BLOCK):
+            out = out.unionByName(_search(rows, block, k))
+            block = []
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def _search(rows: DataFrame, block: list, k: int) -> DataFrame:
+    """(query_id, id, score): each task's k best rows of each query of a block."""
+    q = np.array([r["query_vector"] for r in block], dtype=np.float64)
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    names, wanted = np.array([r["query_id"] for r in block]), [r["query_language"] for r in block]
+    shared = rows.sparkSession.sparkContext.broadcast((names, q, wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q, wanted = shared.value
+        score = np.full((len(q), k), -np.inf)
+        best = np.full((len(q), k), np.iinfo(np.int64).max)
+        kinds = sorted({w for w in wanted if w is not None})
+        of_query = np.array([kinds.index(w) + 1 if w is not None else 0 for w in wanted])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column(0).to_numpy()
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+            norm = np.linalg.norm(v, axis=1)
+            v /= np.maximum(norm, 1e-300)[:, None]
+            place = {x: i + 1 for i, x in enumerate(kinds)}
+            of_row = np.array([place.get(x, -1) for x in batch.column(2).to_pylist()])
+            for a in range(0, len(q), TILE):
+                part = slice(a, a + TILE)
+                found = q[part] @ v.T + LANGUAGE_BOOST * (of_query[part, None] == of_row[None, :])
+                found = np.where(norm > 0, np.round(found, 6), -np.inf)
+                top = min(k, len(ids))
+                # Everything at least as good as the kth, so that ties are settled by id.
+                least = np.partition(found, -top, axis=1)[:, -top]
+                at, row = np.nonzero(found >= np.maximum(least, score[part, -1])[:, None])
+                all_query = np.concatenate((np.repeat(np.arange(len(found)), k), at))
+                all_score = np.concatenate((score[part].ravel(), found[at, row]))
+                all_id = np.concatenate((best[part].ravel(), ids[row]))
+                order = np.lexsort((all_id, -all_score, all_query))
+                sizes = np.bincount(all_query)
+                first = np.repeat(np.cumsum(sizes) - sizes, k) + np.tile(np.arange(k), len(found))
+                score[part], best[part] = all_score[order[first]].reshape(-1, k), all_id[order[first]].reshape(-1, k)
+        real = np.isfinite(score)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, real.sum(1))), pa.array(best[real]), pa.array(score[real])], ["query_id", "id", "score"])
+
+    return rows.mapInArrow(run, "query_id long, id long, score double")
+
+
 def depth(k: int) -> int:
     """K7: how many passages to fetch so that k songs are left."""
     return min(max(4 * k, 40), 200)

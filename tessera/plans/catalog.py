@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import corpus_queries, eval_queries, search_queries, text_queries  # noqa: F401
+from tessera.plans import chart_queries, corpus_queries, eval_queries, search_queries, text_queries  # noqa: F401
 from tessera.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import encode, fusion, lexical, semantic
+from tessera.functions.constants import LIST_DEPTH
+from tessera.operators import ann, encode, fusion, lexical, semantic, serve
 from tessera.plans.registry import query
-from tessera.storage import table
+from tessera.storage import new_path, persist, table
 
 _SIM = "list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v)))"
 _VECTORS = "e as (select vec_id as id, cast(embedding as double[]) as v, label from embeddings where embedding is not null), q as (select * from e where id = 0)"
@@ -33,12 +35,12 @@ def semantic_topk_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with {_VECTORS.replace("where id = 0", "where id % 25 = 0")}, s as (select q.id as query_id, e.id, round({_SIM} + case when e.label = q.label then 0.1 else 0.0 end, 6) as score from e, q),
+    f"""with {_VECTORS.replace("where id = 0", "where id % 20 = 0")}, s as (select q.id as query_id, e.id, round({_SIM} + case when e.label = q.label then 0.1 else 0.0 end, 6) as score from e, q),
 r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, id, score, cast(rank as integer) as rank from r where rank <= 10"""
 )
 def semantic_topk_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    queries = rows.filter("id % 25 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("language").alias("query_language"))
+    queries = rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"), F.col("language").alias("query_language"))
     return semantic.topk_batch(rows, queries, 10, "id", "embedding")
 
 
@@ -63,39 +65,51 @@ b as (select query_id, id, round(sum(ln(1 + (n_docs - df + 0.5::double) / (df +
 bm as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from b) where rank <= 100)"""
 
 
-def _index(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
-    index = lexical.postings(table(spark, sf_dir, "documents"), "doc_id", "text", stemmed)
-    return index, lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed)
+def _words(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
+    words = lexical.words(table(spark, sf_dir, "documents"), "doc_id", "text", stemmed)
+    return words, lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed)
 
 
 @query(f"with {_INDEX} select term, id, tf, cast(doc_len as bigint) as doc_len from p")
 def postings_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir)[0].select("term", "id", "tf", "doc_len")
+    return lexical.postings(_words(spark, sf_dir)[0]).select("term", "id", "tf", "doc_len")
 
 
 @query(f"with {_INDEX}, {_MATCH} select query_id, id, score, cast(rank as integer) as rank from match")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.match_topk(*_index(spark, sf_dir))
+    return lexical.match_topk(*_words(spark, sf_dir))
 
 
 @query(f"with {_INDEX}, {_BM25} select query_id, id, score, cast(rank as integer) as rank from bm")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_topk(*_index(spark, sf_dir))
+    words, terms = _words(spark, sf_dir)
+    # The postings of the terms are read twice, for the scores and for how many texts have a term.
+    index = persist(lexical.postings(words, terms), "postings")
+    return lexical.bm25_topk(index, terms, lexical.lengths(table(spark, sf_dir, "documents"), "text"))
 
 
 @query()
 def bm25_topk_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25_topk(*_index(spark, sf_dir, stemmed=True))
+    words, terms = _words(spark, sf_dir, stemmed=True)
+    words = persist(words.select("id", "doc_len", "pos", "term"), "stems")
+    index = persist(lexical.postings(words, terms), "postings")
+    return lexical.bm25_topk(index, terms, lexical.lengths_of(words))
 
 
-_FUSED = f"""with {_INDEX}, {_MATCH}, {_BM25}, u as (select query_id, id, rank, 0 as l from match union all select query_id, id, rank, 1 from bm),
+# Vectors of documents and queries: those of the rows of the same number, as far as there are some.
+_FUSED = f"""with {_INDEX}, {_MATCH}, {_VECTORS.replace(", q as (select * from e where id = 0)", "")}, q as (select b.item_id as query_id, e.v from benchmark b join e on e.id = b.item_id),
+s as (select query_id, e.id, round({_SIM}, 6) as score from e, q), semantic as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from s where score is not null) where rank <= 100),
+u as (select query_id, id, rank, 0 as l from semantic union all select query_id, id, rank, 1 from match),
 f as (select query_id, id, round(sum(1.0::double / (60 + rank)), 9) as score, min(rank) filter (l = 0) as semantic_rank, min(rank) filter (l = 1) as lexical_rank, min(l * 1000000 + rank) as first from u group by 1, 2),
 r as (select *, row_number() over (partition by query_id order by score desc, first, id) as rank from f)"""
 
 
 def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index, terms = _index(spark, sf_dir)
-    return fusion.rrf([("semantic", lexical.match_topk(index, terms)), ("lexical", lexical.bm25_topk(index, terms))], by=["query_id"])
+    rows = _vectors(spark, sf_dir)
+    asked = table(spark, sf_dir, "benchmark").join(rows, F.col("item_id") == F.col("id"))
+    asked = asked.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.lit(None).cast("string").alias("query_language"))
+    semantic_list = semantic.topk_batch(rows, asked, LIST_DEPTH, "id", "embedding")
+    return fusion.rrf([("semantic", semantic_list), ("lexical", lexical.match_topk(*_words(spark, sf_dir)))], by=["query_id"])
 
 
 @query(f"{_FUSED} select query_id, id, score, cast(semantic_rank as integer) as semantic_rank, cast(lexical_rank as integer) as lexical_rank, cast(rank as integer) as rank from r where rank <= 10")
@@ -110,6 +124,55 @@ def rrf_dominance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.dominance(_fused(spark, sf_dir), "semantic", "lexical").select("query_id", "id", "dominance")
 
 
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, np.ndarray]:
+    path = new_path(spark, "vectors")
+    centres = ann.build(_vectors(spark, sf_dir), "embedding", path)
+    return spark.read.parquet(path), centres
+
+
+@query(f"with {_VECTORS} select e.id, round({_SIM}, 6) as score from e, q order by score desc, e.id limit 10")
+def ann_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lists of the index: what an exact search finds."""
+    return ann.topk(*_index(spark, sf_dir), _query_vector(spark, sf_dir), 10, "id", "embedding", share=1.0).select("id", "score")
+
+
+@query()
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some lists of the index; its recall is measured in the tests."""
+    return ann.topk(*_index(spark, sf_dir), _query_vector(spark, sf_dir), 10, "id", "embedding").select("id", "score")
+
+
+def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Passages and songs made of vectors and their labels."""
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    passages = _vectors(spark, sf_dir).select("id", F.col("label").alias("song_id"), name(" passage ", "id").alias("passage_text"), "embedding", F.col("embedding").alias("embedding_multi"), "language")
+    songs = passages.select(F.col("song_id").alias("id")).distinct()
+    return passages, songs.select("id", name("Artist ", "id").alias("artist"), name("Song ", "id").alias("title"), (F.lit(1960) + F.col("id")).cast("int").alias("year"))
+
+
+@query(
+    f"""with {_VECTORS}, s as (select e.id, e.label, round({_SIM}, 6) as score from e, q order by score desc, e.id limit 40), b as (select *, row_number() over (partition by label order by score desc, id) as rn from s)
+select cast(row_number() over (order by score desc, id) as integer) as rank, 'Artist ' || label as artist, 'Song ' || label as title, cast(1960 + label as integer) as year, 'passage ' || id as passage, score from b where rn = 1 order by score desc, id limit 10"""
+)
+def vibe_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vector = np.array([_query_vector(spark, sf_dir)])
+    return serve.vibe_search(*_library(spark, sf_dir), "songs like the first", 10, encoder=lambda texts: vector, detect=lambda text: "en")[1]
+
+
+@query(f"with {_VECTORS}, r as (select e.id, round({_SIM}, 6) as score from e, q) select id, score, cast(row_number() over (order by score desc, id) as integer) as rank from r order by score desc, id limit 10")
+def search_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vector = np.array([_query_vector(spark, sf_dir)])
+    return serve.search(_library(spark, sf_dir)[0], "a twin of the first", "twin", encoder=lambda texts: vector)
+
+
+@query()
+def search_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("passage_text"), "lang")
+    passages = encode.embed(docs, "passage_text").withColumnRenamed("lang", "language")
+    asked = table(spark, sf_dir, "benchmark").orderBy("item_id").first()["text"]
+    return serve.search(passages, asked, "find").select("id", "score", "rank", "dominance")
+
+
 @query()
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

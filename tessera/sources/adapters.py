@@ -1,12 +1,15 @@
 """External services behind one interface, so that all of it runs offline.
 
-A fetcher takes a request and returns (status, body). The default reads from
-a table of landed responses; a real one does HTTP. Fetching is bounded: one
-request at a time in each partition, with retries that back off.
+A fetcher takes a request and returns (status, body), or (status, body, wait)
+where the service says how long to wait. The default reads from a table of
+landed responses; a real one does HTTP. Fetching is bounded: one request at a
+time in each partition, at a given pace, with retries that back off.
 """
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import random
 import time
@@ -15,10 +18,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from tessera.functions import text
 
-Fetcher = Callable[[str], tuple[int, str]]
+Fetcher = Callable[[str], tuple]
 
 # The service client's pace and patience.
 PER_MINUTE, RETRIES, BACKOFF, JITTER, LONGEST = 28, 4, 2.0, 0.5, 30.0
@@ -32,13 +36,49 @@ def wait_time(attempt: int, retry_after: float | None = None, draw: Callable[[],
 def with_retries(fetch: Fetcher, request: str, retries: int = RETRIES, sleep: Callable[[float], None] = time.sleep) -> tuple[int, str]:
     """Repeat while the service is busy or fails."""
     for attempt in range(retries + 1):
-        status, body = fetch(request)
+        status, body, *wait = fetch(request)
         if status not in (429, 500, 502, 503, 504) or attempt == retries:
             break
-        sleep(wait_time(attempt))
+        sleep(wait_time(attempt, *wait))
     return status, body
 
 
+def paced(fetch: Fetcher, per_minute: float = PER_MINUTE, sleep: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.monotonic) -> Fetcher:
+    """A fetcher that asks no more often than that; each of n partitions should get an nth of a service's limit."""
+    last = -60.0 / per_minute
+
+    def ask(request: str) -> tuple:
+        nonlocal last
+        due = last + 60.0 / per_minute
+        if (now := clock()) < due:
+            sleep(due - now)
+        last = max(now, due)
+        return fetch(request)
+
+    return ask
+
+
+def with_token(fetch: Fetcher, token_request: str) -> Fetcher:
+    """A fetcher that first asks for a token, adds it to every request and renews it when it is refused."""
+    token = None
+
+    def ask(request: str) -> tuple:
+        nonlocal token
+        for _ in range(2):
+            if token is None:
+                status, body, *_ = fetch(token_request)
+                if status != 200:
+                    return status, body
+                token = json.loads(body)["access_token"]
+            got = fetch(f"{request}#{token}")
+            if got[0] != 401:
+                return got
+            token = None
+        return got
+
+    return ask
+
+
 def fetch_all(requests: DataFrame, make_fetcher: Callable[[], Fetcher], partitions: int = 5) -> DataFrame:
     """Adds status and body to rows with ``request``; ``partitions`` at a time."""
 
@@ -48,8 +88,22 @@ def fetch_all(requests: DataFrame, make_fetcher: Callable[[], Fetcher], partitio
             got = [with_retries(fetch, r) for r in pdf["request"]]
             yield pdf.assign(status=[s for s, _ in got], body=[b for _, b in got])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema.fields)
-    return requests.repartition(partitions).mapInPandas(run, f"{schema}, status int, body string")
+    schema = StructType([*requests.schema.fields, StructField("status", IntegerType()), StructField("body", StringType())])
+    return requests.repartition(partitions).mapInPandas(run, schema)
+
+
+def csv_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of CSV replies with a header, as strings in the given columns; one that is missing is null."""
+    wanted = list(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for request, status, body in zip(pdf["request"], pdf["status"], pdf["body"], strict=True):
+                rows = csv.DictReader(io.StringIO(body or "")) if status == 200 else ()
+                yield pd.DataFrame([(request, *(r.get(c) for c in wanted)) for r in rows], columns=["request", *wanted], dtype=object)
+
+    schema = StructType([StructField(c, StringType()) for c in ("request", *wanted)])
+    return df.select("request", "status", "body").mapInPandas(run, schema)
 
 
 def landed(responses: dict[str, tuple[int, str]]) -> Callable[[], Fetcher]:
@@ -75,6 +129,11 @@ def match_artist(name: str, found: list[dict]) -> dict | None:
     return next(iter(exact or [a for a in found if low in a["name"].lower()]), None)
 
 
+def songs_of(songs: list[dict], artist_id: int) -> list[dict]:
+    """Of an artist's listed songs those that are by that artist first of all."""
+    return [s for s in songs if s.get("primary_artist", {}).get("id") == artist_id]
+
+
 def pages(fetch: Fetcher, request: Callable[[int], str], items: str, most: int = 1000) -> list[dict]:
     """Items of numbered pages until one is empty."""
     out: list[dict] = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -34,20 +35,63 @@ def read_csv_typed(spark: SparkSession, path: str, schema: str, missing_ok: bool
         return spark.createDataFrame([], schema)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A CSV folder with headers; ``append`` for failure logs."""
-    df.write.mode(mode).csv(path, header=True, escape='"')
+FAILURES = "artist string, title string, tier string, year string, reason string"
 
 
-def read_document(spark: SparkSession, path: str, schema: str | T.StructType, items: str | None = None) -> DataFrame:
-    """A JSON document, on request the rows of one of its arrays. A corrupt one has no rows."""
-    found = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path, multiLine=True)
+def replace(df: DataFrame, path: str, kind: str, **options: object) -> None:
+    """Write a new version of a folder beside the old one and put it in its place when it is whole.
+
+    A job that fails leaves the old version as it was; what reads ``path``
+    itself may be written to it. Only the two renames are not one step: a
+    driver lost between them leaves the old version under ``.old``, which the
+    next call brings back first.
+    """
+    spark, aside = df.sparkSession, f"{path}.{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    target, new, old = hadoop(path), hadoop(aside), hadoop(f"{path}.old")
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(old) and not store.exists(target):
+        store.rename(old, target)
+    try:
+        df.write.format(kind).options(**options).save(aside)
+    except Exception:
+        store.delete(new, True)
+        raise
+    store.delete(old, True)
+    if store.exists(target):
+        store.rename(target, old)
+    store.rename(new, target)
+    store.delete(old, True)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """S3: a CSV folder with headers, replaced as a whole."""
+    replace(df, path, "csv", header=True, escape='"')
+
+
+def append_failures(df: DataFrame, path: str) -> None:
+    """Add to the log of failures; its columns are fixed and its values are strings.
+
+    Each part has a header, which ``read_csv_typed`` with ``FAILURES`` skips.
+    """
+    names = [f.split(" ")[0] for f in FAILURES.split(", ")]
+    known = set(df.columns)
+    rows = df.select(*((F.coalesce(F.col(n).cast("string"), F.lit("")) if n in known else F.lit("")).alias(n) for n in names))
+    rows.write.mode("append").csv(path, header=True, escape='"')
+
+
+def read_document(spark: SparkSession, path: str, schema: str | T.StructType, items: str | None = None, strict: bool = False, lines: bool = False) -> DataFrame:
+    """JSON documents, one a file or one a line, on request the rows of one of their arrays.
+
+    A corrupt one has no rows, or is an error if ``strict``.
+    """
+    found = spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path, multiLine=not lines)
     return found.select(F.inline(F.col(items))) if items else found
 
 
 def write_document(df: DataFrame, path: str) -> None:
-    """JSON lines; the commit protocol leaves the old version or the new one."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines, replaced as a whole."""
+    replace(df, path, "json")
 
 
 def create_table(spark: SparkSession, name: str, schema: str) -> bool:
@@ -57,15 +101,32 @@ def create_table(spark: SparkSession, name: str, schema: str) -> bool:
     return made
 
 
+def append(df: DataFrame, path: str) -> None:
+    """Add rows to a table, all of them or none."""
+    df.write.mode("append").parquet(path)
+
+
 def regenerate(df: DataFrame, path: str) -> None:
-    """Replace a table's rows by new ones, in one write."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace a table's rows by new ones."""
+    replace(df, path, "parquet")
+
 
+def cascade(parents: DataFrame, children: DataFrame, parent_id: str, child_id: str) -> DataFrame:
+    """The children whose parent is still there; those without a parent's id stay, as a null refers to nothing."""
+    known = parents.select(F.col(parent_id).alias(child_id)).distinct()
+    return children.filter(F.col(child_id).isNull()).unionByName(children.join(known, child_id, "left_semi").select(*children.columns))
 
-def export(df: DataFrame, path: str, with_multi: bool = False, with_fts: bool = False) -> None:
-    """Write passages without the columns a lean copy doesn't need."""
+
+def export(df: DataFrame, path: str, with_multi: bool = False, with_fts: bool = False, plain: bool = False) -> int:
+    """Write passages without the columns a lean copy doesn't need; the bytes written.
+
+    ``plain`` writes JSON lines, which any reader opens, instead of Parquet.
+    """
     dropped = ([] if with_multi else ["embedding_multi"]) + ([] if with_fts else ["passage_tsv"])
-    df.drop(*dropped).write.mode("overwrite").parquet(path)
+    replace(df.drop(*dropped), path, "json" if plain else "parquet")
+    spark = df.sparkSession
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
 
 
 def collect_sources(parts: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -82,6 +143,11 @@ def first_with_rows(candidates: list[DataFrame]) -> DataFrame:
     return next((df for df in candidates[:-1] if not df.isEmpty()), candidates[-1])
 
 
+def sniff(df: DataFrame, names: dict[str, list[str]], rows: int = 50_000) -> DataFrame:
+    """The first rows of a source, of any number, under known names."""
+    return unify_columns(df.limit(rows), names)
+
+
 def unify_columns(df: DataFrame, names: dict[str, list[str]]) -> DataFrame:
     """One column for each name from whichever of its aliases the table has, the first first."""
     low = {c.lower(): c for c in df.columns}

@@ -12,11 +12,14 @@ import re
 import tempfile
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+#: Paths of persisted tables that are still there, in order.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +50,17 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._tessera_path = path
+    _made.append(path)
+    return out
+
+
+def persist_only(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """Persist what ``make`` gives, and delete the tables that were persisted on the way to it."""
+    begin = len(_made)
+    out = persist(make(), label)
+    for path in _made[begin:-1]:
+        _delete(out.sparkSession, path)
+    del _made[begin:-1]
     return out
 
 
@@ -54,9 +68,14 @@ def discard(df: DataFrame) -> None:
     """Delete the files behind a table that ``persist`` made and nothing needs now."""
     path = getattr(df, "_tessera_path", None)
     if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+        if path in _made:
+            _made.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def release(spark: SparkSession) -> None:
