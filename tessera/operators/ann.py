@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tessera.operators.semantic import boosted, cosine
+from tessera.operators.semantic import boosted, cosine, topk_batch
 
 #: Rows that the centres are fitted on, and rounds of fitting.
 SAMPLE, ROUNDS, SEED = 20_000, 10, 7
@@ -81,14 +81,31 @@ def probes(centres: np.ndarray, vector: list[float], share: float) -> list[int]:
     return sorted(near[: max(1, ceil(len(near) * share))].tolist())
 
 
+def share_for(index: DataFrame, centres: np.ndarray, id_column: str, vector_column: str, k: int = 10, recall: float = 0.95, sample: int = 100) -> float:
+    """The least share of lists that holds ``recall`` of the k nearest rows of some rows taken as queries.
+
+    Measured against an exact search for at most ``sample`` queries, so the
+    share suits the data: rows in clear groups need few lists, rows without
+    any order nearly all.
+    """
+    asked = index.orderBy(F.xxhash64(F.lit(SEED), id_column)).limit(sample)
+    queries = asked.select(F.col(id_column).alias("query_id"), F.col(vector_column).alias("query_vector"), F.lit(None).cast("string").alias("query_language"))
+    nearest = topk_batch(index.withColumn("language", F.lit(None).cast("string")), queries, k, id_column, vector_column)
+    listed = nearest.select("query_id", F.col("id").alias("_found")).join(index.select(F.col(id_column).alias("_found"), "list"), "_found")
+    order = {r["query_id"]: np.argsort(np.argsort(-(centres @ _unit(np.asarray(r["query_vector"], dtype=np.float64))), kind="stable")) for r in queries.collect()}
+    places = sorted(int(order[r["query_id"]][r["list"]]) for r in listed.collect())
+    return (places[ceil(recall * len(places)) - 1] + 1) / len(centres) if places else 1.0
+
+
 def topk(
-    index: DataFrame, centres: np.ndarray, vector: list[float], k: int, id_column: str, vector_column: str, share: float = 0.25,
+    index: DataFrame, centres: np.ndarray, vector: list[float], k: int, id_column: str, vector_column: str, share: float,
     language_column: str | None = None, language: Column | str | None = None,
 ) -> DataFrame:
     """The k best rows as (id, score) among the lists nearest to the query, ties by id.
 
     ``index`` is the table that ``build`` wrote, read back: only the folders
-    of those lists are scanned. ``share`` 1.0 gives what an exact search does.
+    of those lists are scanned. ``share`` as ``share_for`` measured it; 1.0
+    gives what an exact search does.
     """
     score = cosine(F.col(vector_column), F.array(*(F.lit(float(x)) for x in vector)))
     if language_column:

@@ -167,10 +167,10 @@ def avg_tie_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """select conv_id, turn, role, last_value(case when role = 'user' then left(text, 20) end ignore nulls) over (partition by conv_id order by turn, role, text rows unbounded preceding) as filled from conversations"""
+    """select conv_id, turn, role, last_value(case when role = 'user' then text end ignore nulls) over (partition by conv_id order by turn, role, text rows unbounded preceding) as filled from conversations"""
 )
 def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.when(F.col("role") == "user", F.substring("text", 1, 20))
+    value = F.when(F.col("role") == "user", F.col("text"))
     return scoring.forward_fill(table(spark, sf_dir, "conversations"), "conv_id", ["turn", "role", "text"], value).select("conv_id", "turn", "role", "filled")
 
 
