@@ -37,6 +37,17 @@ def partitions(df: DataFrame) -> int:
     return max(usual, -(-size // PARTITION_BYTES)) if size < _UNKNOWN else usual
 
 
+def column(name: str, of: str = "") -> Column:
+    """The column of exactly that name, or that field of the struct ``of``."""
+    quoted = name.replace("`", "``")
+    return F.col(f"{of}.`{quoted}`" if of else f"`{quoted}`")
+
+
+def row_of(df: DataFrame) -> Column:
+    """All columns of ``df``, whatever their names, as one struct ``_row``."""
+    return F.struct(*map(column, df.columns)).alias("_row")
+
+
 def with_fields(df: DataFrame, names: list[str], more: str) -> StructType:
     """The fields ``names`` of ``df``, whatever their names and types, and those of the DDL text ``more``."""
     own = {f.name: f for f in df.schema.fields}
@@ -46,7 +57,7 @@ def with_fields(df: DataFrame, names: list[str], more: str) -> StructType:
 def content_hash(df: DataFrame, names: list[str]) -> Column:
     """A hash of the columns ``names``; maps, which have no hash, count as their sorted entries."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    return F.xxhash64(*(_hashable(F.col(f"`{n}`"), kinds[n].simpleString()) for n in names))
+    return F.xxhash64(*(_hashable(column(n), kinds[n].simpleString()) for n in names))
 
 
 def _hashable(col: Column, kind: str) -> Column:
@@ -59,6 +70,15 @@ def id_remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(col.cast("string")), F.lit(modulus))
 
 
+def repeated(df: DataFrame, times: str, name: str, at_once: int = 100_000) -> DataFrame:
+    """Each row of ``df`` ``times`` (long) times, numbered by ``name`` from 1; many repeats of one row are spread over tasks."""
+    few = df.filter(F.col(times) <= at_once).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+    many = df.filter(F.col(times) > at_once).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(at_once).cast("long"))))
+    many = many.repartition(F.col("_from"), F.col(times))
+    upto = F.least(F.col(times), F.col("_from") + at_once)
+    return few.unionByName(many.withColumn(name, F.explode(F.sequence(F.col("_from") + 1, upto))).drop("_from"))
+
+
 def keep_least(docs: DataFrame, near_duplicates: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of ``docs`` whose name is the least of their component, one of each name.
 
@@ -67,7 +87,7 @@ def keep_least(docs: DataFrame, near_duplicates: Callable[[DataFrame], DataFrame
     """
     names = docs.columns
     name = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), content_hash(docs, names).alias("h"))
-    ranked = docs.select(name.alias("k"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"))
+    ranked = docs.select(name.alias("k"), F.col("text").cast("string").alias("text"), row_of(docs))
     marked = persist(near_duplicates(ranked.select("k", "text")), "marked")
     counts = marked.groupBy("k").agg(F.count("*").alias("rows"), F.min("component").alias("component"))
     # Most rows stay and are the only ones of their name: the list of the others decides, and is short.

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tessera.storage import persist
 
 SEGMENTS, WIDTH = 4, 16
-#: Codes and queries of a block: what one task holds.
-INDEX_BLOCK, QUERY_BLOCK, LEAST_QUERIES = 1_000_000, 8192, 256
+#: Codes and queries of a block: what one task holds; queries that are searched at once; the fewest worth a block.
+INDEX_BLOCK, QUERY_BLOCK, AT_ONCE, LEAST_QUERIES = 4_000_000, 1 << 20, 8192, 256
 #: Codes that are verified at once.
 PORTION = 1 << 21
 
@@ -40,19 +40,27 @@ def _patterns(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for c in combinations(range(WIDTH), radius)], dtype=np.uint64)
 
 
-def search(codes: np.ndarray, order: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+_MASK = np.uint64((1 << WIDTH) - 1)
+_SHIFTS = tuple(np.uint64(WIDTH * s) for s in range(SEGMENTS))
+
+
+def segment_tables(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each segment the positions of codes by its value, and where each value begins."""
+    tables = []
+    for s in _SHIFTS:
+        value = (codes >> s & _MASK).astype(np.uint16)
+        begin = np.concatenate(([0], np.cumsum(np.bincount(value, minlength=1 << WIDTH))))
+        tables.append((np.argsort(value, kind="stable").astype(np.int32), begin))
+    return tables
+
+
+def search(codes: np.ndarray, order: np.ndarray, queries: np.ndarray, k: int, tables: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, position, distance) of each query's k nearest codes.
 
     ``codes`` and ``queries`` are uint64; of codes at one distance those with
     the least ``order`` come first.
     """
-    mask = np.uint64((1 << WIDTH) - 1)
-    shift = [np.uint64(WIDTH * s) for s in range(SEGMENTS)]
-    tables = []
-    for s in shift:
-        value = codes >> s & mask
-        by = np.argsort(value, kind="stable")
-        tables.append((by, np.concatenate(([0], np.cumsum(np.bincount(value.astype(np.int64), minlength=1 << WIDTH))))))
+    mask, shift, tables = _MASK, _SHIFTS, tables or segment_tables(codes)
     best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     active = np.arange(len(queries))
@@ -123,7 +131,9 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     distinct = asked.select("code").distinct()
     n_codes, n_queries = codes.count(), distinct.count()
     index_blocks = max(1, math.ceil(n_codes / INDEX_BLOCK))
-    query_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK), min(spark.sparkContext.defaultParallelism, math.ceil(n_queries / LEAST_QUERIES)))
+    # Every code is sent once for each block of queries: as few as memory allows, or as keep all cores busy.
+    busy = math.ceil(spark.sparkContext.defaultParallelism / index_blocks)
+    query_blocks = max(1, math.ceil(n_queries / QUERY_BLOCK), min(busy, math.ceil(n_queries / LEAST_QUERIES)))
     number = lambda n: F.pmod(F.xxhash64("code"), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     least = F.get("ids", F.lit(0))
@@ -134,7 +144,10 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         is_query = pdf["asks"].to_numpy()
         code = pdf["code"].to_numpy().view(np.uint64)
         own, wanted = code[~is_query], code[is_query]
-        query, found, distance = search(own, pdf["first"].to_numpy()[~is_query], wanted, k)
+        order = pdf["first"].to_numpy()[~is_query]
+        tables = segment_tables(own)
+        parts = [(a, search(own, order, wanted[a : a + AT_ONCE], k, tables)) for a in range(0, len(wanted), AT_ONCE)]
+        query, found, distance = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*((a + q, f, d) for a, (q, f, d) in parts), strict=True)) if parts else np.empty((3, 0), np.int64)
         return pd.DataFrame({"query_code": wanted[query].view(np.int64), "code": own[found].view(np.int64), "distance": distance.astype(np.int32)})
 
     near = rows.unionByName(asks).groupBy("index_block", "query_block").applyInPandas(run, "query_code long, code long, distance int")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import content_hash
+from tessera.llm.common import content_hash, repeated, row_of
 from tessera.storage import discard, persist
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -238,15 +238,6 @@ def mix_groups(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: i
     return sized.join(copies, "row_key").join(plan, same).select("row_key", "doc_id", "source", "size", "rows", "copies", "source_size", "target")
 
 
-def _repeat(df: DataFrame, times: str, name: str) -> DataFrame:
-    """Each row of ``df`` ``times`` times, numbered from 1; many repeats of one row are spread over tasks."""
-    few = df.filter(F.col(times) <= REPEAT_ROWS).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
-    many = df.filter(F.col(times) > REPEAT_ROWS).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(REPEAT_ROWS).cast("long"))))
-    many = many.repartition(F.col("_from"), F.xxhash64("_from", "row_key"))
-    upto = F.least(F.col(times), F.col("_from") + REPEAT_ROWS)
-    return few.unionByName(many.withColumn(name, F.explode(F.sequence(F.col("_from") + 1, upto))).drop("_from"))
-
-
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 9) -> DataFrame:
     """How often the mix takes each row of ``docs`` (doc_id, source, text).
 
@@ -258,7 +249,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MA
     Very long texts are only counted. The outcome depends on the rows and
     ``seed`` alone, not on partitions. Other columns are left out.
     """
-    rows = _repeat(mix_groups(docs, weights, repeats, seed), "rows", "_row")
+    rows = repeated(mix_groups(docs, weights, repeats, seed), "rows", "_row", REPEAT_ROWS)
     copies = F.floor(F.col("copies") / F.col("rows")) + (F.col("_row") <= F.pmod("copies", "rows")).cast("long")
     return rows.withColumn("copies", copies).select("row_key", "doc_id", "source", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source_size", "target")
 
@@ -273,11 +264,10 @@ def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
     """
     names = docs.columns
     groups = mix_groups(docs, **options).filter("copies > 0").select("row_key", "rows", "copies")
-    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")
-    joined = docs.select(row, row_key().alias("row_key"), content_hash(docs, names).alias("_hash")).join(persist(groups, "mix-groups"), "row_key")
+    joined = docs.select(row_of(docs), row_key().alias("row_key"), content_hash(docs, names).alias("_hash")).join(persist(groups, "mix-groups"), "row_key")
     single = joined.filter("rows = 1").select("row_key", "_row", F.col("copies").alias("_times"))
     alike = joined.filter("rows > 1").groupBy("row_key", "_hash", "rows", "copies").agg(F.count("*").alias("_n"), F.first("_row").alias("_row"))
     upto = F.sum("_n").over(Window.partitionBy("row_key").orderBy("_hash"))
     more = F.greatest(F.least(F.pmod("copies", "rows") - (upto - F.col("_n")), F.col("_n")), F.lit(0))
     shared = alike.withColumn("_times", F.col("_n") * F.floor(F.col("copies") / F.col("rows")) + more).filter("_times > 0").select("row_key", "_row", "_times")
-    return _repeat(single.unionByName(shared), "_times", "_i").select("_row.*")
+    return repeated(single.unionByName(shared), "_times", "_i", REPEAT_ROWS).select("_row.*")

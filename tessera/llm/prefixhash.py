@@ -6,14 +6,17 @@ the hash of any span follows in one step: (S_(i+l) - S_i) B^(-i). Spans of two
 texts are equal when their hashes are, and the longest common extension from
 two places is found by binary search over span lengths.
 
-A fingerprint holds the length, the hash of the whole text and a sketch: of
+A fingerprint holds the length, the hash of the whole text and sketches: of
 the hashes of all spans of ``WIDTH`` code points, the least in each of
-``BINS`` bins. Two fingerprints are as alike as the share of bins that agree.
+``BINS`` bins, and for texts shorter than ``SHORT`` the same for spans of
+``NARROW``. Two fingerprints are as alike as the share of bins that agree, in
+the narrow sketch where both have one, else in the wide one.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +25,13 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import short_batches
+from tessera.llm.common import partitions, repeated, short_batches
 
 PRIME = (1 << 31) - 1
 BASES = (1_000_003, 998_244_353)
 WIDTH, BINS = 32, 64
+#: A text has a narrow sketch below this length, and a wide one from twice ``WIDTH`` on.
+SHORT, NARROW = 1024, 8
 _EMPTY = "----"
 _P, _S31 = np.uint64(PRIME), np.uint64(31)
 
@@ -81,17 +86,19 @@ class PrefixHash:
         one, two = (_mod(_mod(s[width:] + _P - s[:last]) * b[:last]) for s, b in zip(self.sums, self.back, strict=True))
         return one << _S31 | two
 
+    def sketch(self, width: int) -> str:
+        mixed = self.spans(min(width, self.n)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.full(BINS, 1 << 58, dtype=np.uint64)
+        np.minimum.at(least, (mixed >> np.uint64(58)).astype(np.intp), mixed & np.uint64((1 << 58) - 1))
+        return "".join(_EMPTY if x >> 58 else f"{x & 0xFFFF:04x}" for x in least.tolist())
+
     def fingerprint(self) -> str:
         whole = "".join(f"{x:08x}" for x in self.span(0, self.n))
-        cells = [_EMPTY] * BINS
-        if self.n:
-            mixed = self.spans(min(WIDTH, self.n)) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(32)
-            mixed *= np.uint64(0xD6E8FEB86659FD93)
-            least = np.full(BINS, 1 << 58, dtype=np.uint64)
-            np.minimum.at(least, (mixed >> np.uint64(58)).astype(np.intp), mixed & np.uint64((1 << 58) - 1))
-            cells = [_EMPTY if x >> 58 else f"{x & 0xFFFF:04x}" for x in least.tolist()]
-        return f"{self.n:x}.{whole}.{''.join(cells)}"
+        wide = self.sketch(WIDTH) if self.n >= 2 * WIDTH else ""
+        narrow = self.sketch(NARROW) if 0 < self.n < SHORT else ""
+        return f"{self.n:x}.{whole}.{wide}.{narrow}"
 
 
 def common_extension(a: PrefixHash, i: int, b: PrefixHash, j: int) -> int:
@@ -110,9 +117,11 @@ def likeness(one: str, two: str) -> float:
     """Of the bins that either sketch fills, the share in which both agree; 1 for equal ones."""
     if one == two:
         return 1.0
-    a, b = one.rpartition(".")[2], two.rpartition(".")[2]
+    *_, wide, narrow = one.split(".")
+    *_, other_wide, other_narrow = two.split(".")
+    a, b = (narrow, other_narrow) if narrow and other_narrow else (wide, other_wide)
     size = len(_EMPTY)
-    pairs = [(a[k : k + size], b[k : k + size]) for k in range(0, BINS * size, size)]
+    pairs = [(a[k : k + size], b[k : k + size]) for k in range(0, BINS * size, size)] if a and b else []
     filled = [(x, y) for x, y in pairs if x != _EMPTY or y != _EMPTY]
     return sum(x == y for x, y in filled) / len(filled) if filled else 0.0
 
@@ -128,62 +137,94 @@ _OUT = (
 )
 
 
+def _ranges(rows: DataFrame, wanted: int) -> DataFrame:
+    """``rows`` (doc_id, text, h) with ``times`` and ``part``, whose numbers follow the order of (doc_id, h), null ids last.
+
+    Parts are ranges of ids between quantiles. An id that is a quantile more
+    than once has that many parts of its own, as have null ids, by ranges of
+    h; of these rows, those alike in id and text are counted and sent once.
+    """
+    spark = rows.sparkSession
+    quantiles = F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)] or [0.5], 10 * max(wanted, 1000)).alias("cut")
+    about = rows.agg(quantiles, F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("null")).first()
+    cut = Counter(about["cut"] or [0])
+    # A range for each distinct quantile, for ids below them all, and for null ids: (first id, parts by h of that id, first part).
+    bounds = [(0, None, 0), *((i, x, cut[x] if cut[x] > 1 else 0) for i, x in enumerate(sorted(cut), 1))]
+    bounds.append((len(bounds), None, max(1, -(-wanted * about["null"] // max(about["n"], 1)))))
+    table, part = [], 0
+    for i, x, split in bounds:
+        table.append((i, x, split, part))
+        part += split if i == len(bounds) - 1 else split + 1
+    # One row a partition: small enough to broadcast.
+    ranges = F.broadcast(spark.createDataFrame(table, "_range int, _id long, _split int, _first int"))
+    splits = [float("-inf"), *(float(x) for _, x, _ in bounds[1:-1]), float("inf")]
+    marked = rows.withColumn("_double", F.col("doc_id").cast("double"))
+    marked = Bucketizer(splits=splits, inputCol="_double", outputCol="_range", handleInvalid="keep").transform(marked).drop("_double")
+    marked = marked.withColumn("_range", F.when(F.col("doc_id").isNull(), len(bounds) - 1).otherwise(F.col("_range").cast("int"))).join(ranges, "_range")
+    own = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * F.col("_split")).cast("int")
+    own = F.least(F.greatest(own, F.lit(0)), F.col("_split") - 1)
+    by_hash = (F.col("_split") > 0) & F.col("doc_id").eqNullSafe(F.col("_id"))
+    # Numbers that are one as doubles share a range: those below its first id belong to the part before.
+    place = F.when(by_hash, own).when(F.col("doc_id") < F.col("_id"), -1).otherwise(F.col("_split"))
+    marked = marked.withColumn("part", F.col("_first") + place).select("doc_id", "text", "h", by_hash.alias("_hot"), "part")
+    columns = ["doc_id", "text", "h", "part", "times"]
+    plain = marked.withColumn("times", F.lit(1).cast("long"))
+    if not any(split for *_, split in bounds[:-1]) and not about["null"]:
+        return plain.select(columns)
+    alike = marked.filter("_hot").groupBy("doc_id", "h", "part").agg(F.first("text").alias("text"), F.count("*").alias("times"))
+    return plain.filter("not _hot").select(columns).unionByName(alike.select(columns))
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """Every row with the fingerprints of its text, of an edited text and of the next row's.
 
     The next row is that with the next greater (doc_id, xxhash64 of the text),
     null ids last, and the first row's after the last; a single row is its
     own. A null text counts as an empty one. Repeated rows follow one another.
-    Rows are dealt by ranges of ids, and each range also gets the first row of
-    the next one, so no order over all rows is ever made in one task.
+    An empty table gives an empty result. Other columns are left out. A very
+    long text costs some eighty times its size in memory. Rows are dealt by
+    ranges, and each range also gets the first row of the next one, so no
+    order over all rows is ever made in one task.
     """
     spark = docs.sparkSession
     short_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5])).first()[0]
-    splits = [float("-inf"), *sorted({float(x) for x in cut or [0]}), float("inf")]
-    rows = rows.withColumn("_id", F.col("doc_id").cast("double"))
-    rows = Bucketizer(splits=splits, inputCol="_id", outputCol="_range", handleInvalid="keep").transform(rows).drop("_id")
-    rows = rows.withColumn("_range", F.coalesce(F.col("_range").cast("int"), F.lit(len(splits) - 1)))  # null ids: a range of their own
+    rows = _ranges(rows, partitions(docs))
     # One row a range, the least of each: as many as there are partitions.
-    least = {r["_range"]: r["first"] for r in rows.groupBy("_range").agg(F.min(F.struct("doc_id", "h")).alias("first")).collect()}
+    least = sorted(tuple(r) for r in rows.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("part", "first.doc_id", "first.h").collect())
     if not least:
         return spark.createDataFrame([], _OUT)
-    order = sorted(least)
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    some = range(len(splits))
-    first_id = F.get(F.array(*(F.lit(least[r]["doc_id"] if r in least else None).cast("long") for r in some)), F.col("_range"))
-    first_h = F.get(F.array(*(F.lit(least[r]["h"] if r in least else None).cast("long") for r in some)), F.col("_range"))
-    previous = F.get(F.array(*(F.lit(before.get(r, 0)) for r in some)), F.col("_range"))
-    own = F.struct(F.col("_range").alias("part"), F.lit(0).alias("tail"))
-    copy = F.struct(previous.alias("part"), F.lit(1).alias("tail"))
-    is_first = F.col("doc_id").eqNullSafe(first_id) & (F.col("h") == first_h)
-    dealt = rows.select("doc_id", "text", "h", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))).alias("_to"))
-    dealt = dealt.select(F.col("_to.part").alias("part"), F.col("_to.tail").alias("tail"), "doc_id", "text", "h").repartitionById(len(splits), F.col("part"))
-    ordered = dealt.sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_last(), "h").select("tail", "doc_id", "text")
+    firsts = F.broadcast(spark.createDataFrame([(*x, least[i - 1][0]) for i, x in enumerate(least)], "part int, first_id long, first_h long, previous int"))
+    own = F.struct(F.col("part").alias("part"), F.lit(0).alias("tail"))
+    copy = F.struct(F.col("previous").alias("part"), F.lit(1).alias("tail"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))
+    dealt = rows.join(firsts, "part").select("doc_id", "text", "h", "times", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))).alias("_to"))
+    dealt = dealt.select(F.col("_to.part").alias("part"), F.col("_to.tail").alias("tail"), "doc_id", "text", "h", "times").repartitionById(least[-1][0] + 1, F.col("part"))
+    ordered = dealt.sortWithinPartitions("part", "tail", F.col("doc_id").asc_nulls_last(), "h").select("tail", "doc_id", "text", "times")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = None, []
         for batch in batches:
-            for tail, doc_id, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for tail, doc_id, value, times in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if held is None:
                     if tail:
                         continue  # a second copy of a repeated first row
                     held = (doc_id, value, PrefixHash(value))
                     held += (held[2].fingerprint(),)
-                    continue
-                following = (doc_id, value, held[2], held[3]) if value == held[1] else (doc_id, value, found := PrefixHash(value), found.fingerprint())
-                rows.append(_compare(held, following))
-                held = None if tail else following
+                else:
+                    following = (doc_id, value, held[2], held[3]) if value == held[1] else (doc_id, value, found := PrefixHash(value), found.fingerprint())
+                    rows.append((*_compare(held, following), 1))
+                    held = None if tail else following
+                if held and times > 1:  # all but the last of rows alike are followed by one like them
+                    rows.append((*_compare(held, held), times - 1))
             if len(rows) >= 500:
                 yield _batch(rows)
                 rows = []
         if rows:
             yield _batch(rows)
 
-    return ordered.mapInArrow(run, _OUT)
+    return repeated(ordered.mapInArrow(run, f"{_OUT}, _times long"), "_times", "_i").drop("_times", "_i")
 
 
 def _compare(held: tuple, following: tuple) -> tuple:
@@ -205,5 +246,5 @@ def _compare(held: tuple, following: tuple) -> tuple:
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
-    fields = [x.split(" ") for x in _OUT.split(", ")]
+    fields = [*(x.split(" ") for x in _OUT.split(", ")), ["_times", "long"]]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])

@@ -13,46 +13,59 @@ from tessera.storage import new_path, table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every span of 16 words or more that stands at an earlier place too, with that place (``substrings.repeats``)."""
     return substrings.repeats(table(spark, sf_dir, "documents"))
 
 
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token files and read back (``tokenfile``)."""
     folder = new_path(spark, "tokens")
     tokenfile.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), folder, end_id=1)
     return tokenfile.read(spark, folder)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three quarters of them (``langid.identify``)."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fingerprint and its component at 4 bits or fewer (``simhash.query``)."""
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
 def op5_ppm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text under the PPM model and the unigram baseline, learnt from nine tenths of them (``lm.score``)."""
     return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by rules, else by the link graph (``urlfilter.judge``)."""
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
 def op7_prefix_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text against an edited copy and against the next one (``prefixhash.neighbours``)."""
     return prefixhash.neighbours(table(spark, sf_dir, "documents"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again, as digests (``bpe.encode_documents``)."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, ["doc_id"])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document (``mixing.mix``)."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
 def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest sign codes of every vector whose id is divisible by 20, itself among them (``hamming.top_k``).
+
+    Rows with a null id or vector are left out.
+    """
     codes = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"), "embedding")
     codes = codes.filter("embedding is not null").select("id", "code")
     return hamming.top_k(codes, codes.filter("id % 20 = 0"), 10)

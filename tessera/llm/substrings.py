@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import short_batches
+from tessera.llm.common import column, row_of, short_batches
 from tessera.storage import discard, persist, release
 
 GEAR_SEED, DIGEST_SEED = 7, 0
@@ -351,21 +351,21 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     names = docs.columns
     cut_list = _spans(docs.select("doc_id", "text"), min_words).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), _merged(F.col("spans")).alias("_spans"))
-    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
+    row = docs.select(row_of(docs), F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_text"))
     joined = row.join(cut_list, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")), "left")
     text = F.when(F.col("_spans").isNull(), F.col("_row.text")).otherwise(_without(F.encode("_row.text", "utf-8"), F.col("_spans")))
     out = joined.select("_row", "_spans", text.alias("_new"))
 
-    def column(name: str) -> Column:
+    def new(name: str) -> Column:
         if name == "text":
             return F.col("_new").alias("text")
-        old = F.col(f"_row.`{name}`")
+        old = column(name, "_row")
         if name == "n_chars":
             kind = next(f.dataType for f in docs.schema.fields if f.name == name)
             return F.when(F.col("_spans").isNull(), old).otherwise(F.length("_new").cast(kind)).alias(name)
         return old.alias(name)
 
-    return out.select(*map(column, names))
+    return out.select(*map(new, names))
 
 
 def _merged(spans: Column) -> Column:

@@ -8,11 +8,15 @@ backwards, to those who link there. A host's seed is the share of its pages
 that rules allow or block. PageRank is linear in its seeds, so they needn't
 add up to one: scores are divided by the share that teleports, and a host
 without links keeps its seed as its score. A host is blocked where its
-distrust exceeds its trust and reaches ``THRESHOLD``.
+distrust exceeds its trust and reaches ``THRESHOLD``. A blocked host's distrust
+is shared among all that link to it, so a single link to a host that many link
+to condemns no one.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +24,7 @@ from tessera.storage import discard, persist
 
 #: (verdict, rule); the part up to the first slash is the host.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DAMPING, ROUNDS, SETTLED, THRESHOLD = 0.85, 30, 1e-6, 0.5
+DAMPING, SETTLED, THRESHOLD = 0.85, 1e-7, 0.5
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Absolute and protocol-relative links.
@@ -49,11 +53,15 @@ def host_edges(pages: DataFrame) -> DataFrame:
     pairs = pages.select(host_of(F.col("url")).alias("src"), F.explode(targets).alias("dst")).filter("src <> '' and src <> dst")
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, settled: float = SETTLED) -> DataFrame:
     """(host, trust, distrust) from seeds of the same names along edges (src, dst, n).
 
-    Stops when no score moves by more than ``settled``. Each round aggregates
-    both flows by host and is written to the shared folder.
+    Ends when the scores are within ``settled`` of their limits: moves shrink
+    by the damping each round, so those still to come add up to no more than
+    damping / (1 - damping) times the last one. As all moves of a round
+    together shrink at that rate, their sum at first says how many rounds
+    there can be. Each round aggregates both flows by host and is written to
+    the shared folder.
     """
     out = edges.groupBy("src").agg(F.sum("n").alias("out"))
     into = edges.groupBy("dst").agg(F.sum("n").alias("into"))
@@ -63,7 +71,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     seeded = persist(hosts.join(seeds, "host", "left").select("host", F.coalesce("trust", zero).alias("t0"), F.coalesce("distrust", zero).alias("d0")), "seeds")
     rest = 1 - damping
     state = persist(seeded.select("host", (rest * F.col("t0")).alias("trust"), (rest * F.col("d0")).alias("distrust")), "ranks")
-    for _ in range(rounds):
+    mass = seeded.agg(F.sum(F.col("t0") + F.col("d0"))).first()[0] or 0.0
+    enough = settled * rest * rest / damping  # scores are divided by ``rest`` at the end
+    for _ in range(1 + max(1, math.ceil(math.log(max(mass, 1.0) / enough) / -math.log(damping)))):
         down = shares.join(state, F.col("src") == F.col("host")).select(F.col("dst").alias("host"), (F.col("trust") * F.col("down")).alias("t"), zero.alias("d"))
         up = shares.join(state, F.col("dst") == F.col("host")).select(F.col("src").alias("host"), zero.alias("t"), (F.col("distrust") * F.col("up")).alias("d"))
         flow = down.unionByName(up).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
@@ -73,8 +83,10 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
         fresh = persist(moved, "ranks")
         discard(state)
         state = fresh
-        if (state.agg(F.max("change")).first()[0] or 0.0) <= settled:
+        if (state.agg(F.max("change")).first()[0] or 0.0) <= enough:
             break
+    else:
+        raise RuntimeError("the scores did not settle")
     return state.select("host", (F.col("trust") / rest).alias("trust"), (F.col("distrust") / rest).alias("distrust"))
 
 def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -84,7 +96,8 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshol
     rule and are allowed, as nothing speaks against them; so is a host that
     neither trust nor distrust reaches. Null html has no links. Repeated rows
     are judged each and count each in their host's seed. An empty table gives
-    an empty result. Also: the host's trust and distrust.
+    an empty result. A very long page costs a few times its size. Also: the
+    host's trust and distrust. Other columns are left out.
     """
     url = F.col("url").cast("string")
     host, path = host_of(url), path_of(url)

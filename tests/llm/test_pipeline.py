@@ -1,7 +1,9 @@
 import hashlib
+import random
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe
@@ -44,3 +46,25 @@ def test_odd_rows(spark, odd, none):
             docs = stage(spark, docs, SF).cache()
             assert docs.columns == df.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_columns_of_odd_names_and_types(spark, documents):
+    docs = documents.limit(60).withColumn("my col: x", F.lit("a.b")).withColumn("a`b", F.lit(1)).withColumn("tags", F.create_map(F.lit("k"), F.col("doc_id")))
+    columns, types = docs.columns, docs.dtypes
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns and docs.dtypes == types
+    rows = docs.collect()
+    assert rows and all(r["my col: x"] == "a.b" and r["tags"] == {"k": r.doc_id} for r in rows)
+
+
+def test_texts_in_no_learnt_language_go(spark, documents):
+    """Random letters of any length are rejected; short and long texts in the languages stay."""
+    rng = random.Random(3)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 9))) for _ in range(n)) for n in (60, 100, 300, 1000)]
+    noise += ["これは日本語の文章です。" * 40, "Это предложение на русском языке. " * 30]
+    docs = documents.unionByName(spark.createDataFrame([(10**6 + i, t, None, "noise", len(t)) for i, t in enumerate(noise)], documents.schema))
+    kept = corpus_pipeline.identify_language(spark, docs, SF).select("doc_id").collect()
+    ids = {r.doc_id for r in kept}
+    assert not [i for i in ids if i >= 10**6]
+    assert len(ids) >= 0.99 * documents.filter("text rlike '[a-z]'").count()

@@ -1,7 +1,10 @@
 import hashlib
+import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import prefixhash as ph
 
@@ -30,6 +33,18 @@ def test_likeness():
     assert ph.likeness(prints[0], prints[4]) == 0.0
 
 
+def test_likeness_of_short_and_middling_texts():
+    """An edited text keeps its first half, at any length, and a sketch of the same width."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    for n in (30, 50, 100, 500, 1000, 1023, 1024, 1100, 2100, 9000):
+        one, other = (" ".join(word() for _ in range(n // 6 + 1))[:n] for _ in range(2))
+        for following in (other, other[: n // 4]):
+            near = ph.likeness(*(ph.PrefixHash(t).fingerprint() for t in (one, ph.edited(one, following))))
+            assert 0.1 < near < 0.8
+        assert ph.likeness(*(ph.PrefixHash(t).fingerprint() for t in (one, other))) < 0.1
+
+
 def expected(texts):
     """texts in order; the next of the last is the first."""
     out = []
@@ -58,3 +73,20 @@ def test_odd_rows(odd, none):
     assert ph.neighbours(none).count() == 0
     one = ph.neighbours(odd.filter("doc_id = 8")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+@pytest.mark.parametrize("repeats", [3, 10])
+def test_one_id_and_one_row_very_often(spark, monkeypatch, repeats):
+    """Most rows share one id or have none, and one row is repeated; ranges split them by their texts."""
+    monkeypatch.setattr(ph, "partitions", lambda df: 13)
+    rows = [(7, f"text {i % 40} of the many") for i in range(200)] + [(7, "the same row")] * repeats + [(None, f"none {i}") for i in range(60)]
+    rows += [(i, f"some text {i}") for i in range(0, 20)] + [(None, "none 3")] * repeats + [(2**60 + i, f"far {i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashed = [tuple(r) for r in df.selectExpr("doc_id", "text", "xxhash64(text)").collect()]
+    ordered = sorted(hashed, key=lambda r: (r[0] is None, r[0] or 0, r[2]))
+    want = sorted((str(r[0]), *e) for r, e in zip(ordered, expected([r[1] for r in ordered]), strict=True))
+    marked = ph._ranges(df.withColumn("h", F.xxhash64("text")), 13)
+    sizes = [r["count"] for r in marked.groupBy("part").count().collect()]
+    assert max(sizes) < 60 and marked.agg(F.max("times")).first()[0] >= repeats
+    got = ph.neighbours(df)
+    assert sorted((str(r.doc_id), *tuple(r)[1:7]) for r in got.collect()) == want

@@ -90,6 +90,18 @@ def test_small_graph(spark):
     assert verdict[9] == "allow" and verdict[10] == "allow"
 
 
+def test_scores_of_a_ring_are_at_their_limit(spark):
+    """a -> b -> c -> a, trust from a, distrust from c: the limits have closed forms."""
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("c", 0.0, 1.0)], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([("a", "b", 3), ("b", "c", 1), ("c", "a", 2)], "src string, dst string, n long")
+    got = {r.host: (r.trust, r.distrust) for r in urlfilter.propagate(seeds, edges).collect()}
+    d = 0.85
+    whole = 1 / (1 - d**3)
+    want = {"a": (whole, d * d * whole), "b": (d * whole, d * whole), "c": (d * d * whole, whole)}
+    for host in "abc":
+        assert got[host] == pytest.approx(want[host], abs=1e-6)
+
+
 def test_all_pages(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     check(df, [(r.page_id, r.url, r.html) for r in df.collect()])
