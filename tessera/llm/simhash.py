@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keep_least, short_batches, with_fields
-from tessera.llm.components import components
+from tessera.llm.components import Forest, components
 from tessera.storage import persist
 
 SHINGLE, BUDGET, SEED = 4, 4, 42
@@ -94,29 +94,6 @@ def masks(n: int, budget: int = BUDGET) -> list[int]:
     raise AssertionError
 
 
-class _Forest:
-    """Union-find over positions of an array."""
-
-    def __init__(self, n: int) -> None:
-        self.parent = np.arange(n)
-
-    def roots(self) -> np.ndarray:
-        while True:
-            up = self.parent[self.parent]
-            if np.array_equal(up, self.parent):
-                return up
-            self.parent = up
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Unite a[i] and b[i] for all i."""
-        while len(a):
-            root = self.roots()
-            a, b = root[a], root[b]
-            apart = a != b
-            a, b = a[apart], b[apart]
-            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
-
-
 def meet(fp: np.ndarray, starts: np.ndarray, budget: int, needless: Callable[..., np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of places within each group whose values differ in ``budget`` bits at most.
 
@@ -185,7 +162,7 @@ def link_groups(fp: np.ndarray, starts: np.ndarray, budget: int = BUDGET, side:
     need be linked.
     """
     n = len(fp)
-    forest = _Forest(n)
+    forest = Forest(n)
     if n < 2:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     sided = None if side is None else np.concatenate(([0], np.cumsum(side)))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessera.llm import simhash, similar
+from tessera.llm import components, simhash, similar
 
 
 def shingled(text):
@@ -67,3 +67,16 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, x) for x in (-5, 1, 3, 6, 7, 8)] + [(True, 0)]
     assert similar.keep_one(none).count() == 0
+
+
+@pytest.mark.parametrize("links", [10**6, 50])
+def test_thinned_links_connect_the_same(spark, monkeypatch, links):
+    monkeypatch.setattr(components, "TASK_LINKS", links)
+    rng = np.random.default_rng(3)
+    groups = [rng.integers(-(2**62), 2**62, n).tolist() for n in (2, 40, 60)]
+    pairs = [(int(a), int(b)) for g in groups for a, b in combinations(g, 2)] + [(5, 5)]
+    df = spark.createDataFrame(pairs, "a long, b long")
+    thin = components.thinned(df)
+    assert thin.count() <= 102 * -(-len(pairs) // links)
+    assert {(r.node, r.root) for r in components.components(thin).collect()} == {(x, min(g)) for g in groups for x in g}
+    assert components.thinned(df.limit(0)).count() == 0
