@@ -32,8 +32,8 @@ BLOCK_DOCS, BLOCK_CHARS = 128, 1_000_000
 #: Rows of the cache of trigram vectors (4 kB each); it starts anew when full.
 CACHE_ROWS = 8192
 _CODES = 128
-#: Shares of the median and of the hundredth score that a text of its length must reach, and the least limit of the latter.
-OF_MEDIAN, OF_LOW, LEAST = 0.4, 0.5, 0.05
+#: The share of the median score of its length that a text must reach: in a language it scores over 0.2 of it but for a few, random letters about 0.1.
+OF_MEDIAN = 0.17
 
 
 @lru_cache(1)
@@ -202,20 +202,17 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
 def least_scores(scored: DataFrame, text: str = "text") -> Column:
     """The score below which a text is taken to be in none of the languages, by its length.
 
-    From all rows of ``scored`` (text, score): texts are compared with those
-    of about their length (between two powers of two), as short ones score
-    low whatever their language. The limit is ``OF_MEDIAN`` of the median
-    score there, so texts in other languages or of random letters don't lower
-    it while they are less than half, but never above ``OF_LOW`` of what all
-    but a hundredth reach. At most 32 rows reach the driver.
+    It is ``OF_MEDIAN`` of the median score of all rows of ``scored`` (text,
+    score) of about that length, between two powers of two, as short texts
+    score low whatever their language. Texts in other languages or of random
+    letters don't lower it much while they are less than half. At most 32 rows
+    reach the driver.
     """
     length = F.floor(F.log2(F.length(text) + 1)).cast("int")
-    marks = F.percentile_approx("score", [0.01, 0.5], 10_000)
-    found = scored.filter("score > 0").groupBy(length.alias("length")).agg(marks.alias("m")).collect()
+    found = scored.filter("score > 0").groupBy(length.alias("length")).agg(F.percentile_approx("score", 0.5, 10_000).alias("median")).collect()
     limit = F.lit(0.0)
     for r in found:
-        low, median = r["m"]
-        limit = F.when(length == r["length"], min(OF_MEDIAN * median, max(OF_LOW * low, LEAST))).otherwise(limit)
+        limit = F.when(length == r["length"], OF_MEDIAN * r["median"]).otherwise(limit)
     return limit
 
 
