@@ -72,3 +72,15 @@ def carry(rows: DataFrame, group: str, order: list[str], columns: list[str]) ->
     """Each of ``columns`` from the last row of its group that has it."""
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(*(F.last(c, ignorenulls=True).over(w).alias(c) if c in columns else F.col(c) for c in rows.columns))
+
+
+def viral_songs(pages: DataFrame) -> DataFrame:
+    """(title, artist_raw, year, original_year) of articles (page_title, intro) that say a song went viral.
+
+    Pages that name no artist or no viral year drop out.
+    """
+    intro = F.col("intro")
+    found = pages.select(
+        text.page_song(F.col("page_title")).alias("title"), text.intro_artist(intro).alias("artist_raw"), text.viral_year(intro).alias("year"), text.release_year(intro).alias("original_year")
+    )
+    return found.filter("artist_raw is not null and year is not null and title <> ''")

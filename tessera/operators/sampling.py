@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import text
 from tessera.functions.constants import BANDS, CATEGORIES, LEAST_CANDIDATES, OVER_GENERATE
+from tessera.operators.dedup import first_seen
 from tessera.operators.scoring import lookup
 from tessera.storage import persist
 
@@ -106,6 +108,18 @@ def numbered(df: DataFrame, prefix: str, digits: int, order: list[Column]) -> Da
     return df.withColumn("id", F.format_string(f"{prefix}_%0{digits}d", F.row_number().over(Window.orderBy(*order))))
 
 
+def candidates_of(replies: DataFrame, order: list[str]) -> DataFrame:
+    """(raw_id, language, category, query) from a model's replies (language, category, body).
+
+    One query a line; of queries that differ in case only the first by
+    ``order`` and line stays.
+    """
+    lines = replies.select("language", "category", *order, F.posexplode(text.query_lines(F.col("body"))).alias("_line", "query"))
+    by = [F.col(c) for c in (*order, "_line")]
+    first = first_seen(lines, "query", by)
+    return numbered(first, "raw", 4, by).select(F.col("id").alias("raw_id"), "language", "category", "query")
+
+
 def apply_decisions(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
     """The candidates that were kept, numbered anew."""
     kept = candidates.join(decisions.filter("decision = 'k'").select("raw_id"), "raw_id")

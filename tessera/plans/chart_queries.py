@@ -302,3 +302,29 @@ except select 'src0', year, count(*) from entries where source = 'src0' group by
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = entries(spark, sf_dir).filter(F.col("source").isin(*_WEIGHTS)).groupBy("source", "year").agg(F.count("*").alias("n"))
     return counts.exceptAll(counts.filter("source = 'src0'"))
+
+
+@query(
+    """with l as (select p_partkey, 0 as pos, p_name as query from part union all select p_partkey, 1, p_type from part), f as (select *, row_number() over (partition by lower(query) order by p_partkey, pos) as rn from l)
+select 'raw_' || lpad(cast(row_number() over (order by p_partkey, pos) as varchar), 4, '0') as raw_id, 'en' as language, cast(p_partkey % 5 as integer) as category, query from f where rn = 1"""
+)
+def generated_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("Here they are:\n1. "), F.col("p_name"), F.lit("\n- \""), F.col("p_type"), F.lit("\"\n"))
+    replies = table(spark, sf_dir, "part").select("p_partkey", F.lit("en").alias("language"), (F.col("p_partkey") % 5).cast("int").alias("category"), body.alias("body"))
+    return sampling.candidates_of(replies, ["p_partkey"])
+
+
+@query("select p_name as title, p_brand as artist_raw, 2021 as year, 1983 as original_year from part where p_partkey % 3 = 0")
+def viral_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    end = F.when(F.col("p_partkey") % 3 == 0, "It went viral on TikTok in 2021.").otherwise("No one noticed.")
+    intro = F.concat(F.lit("\"X\" is a song by the American singer "), F.col("p_brand"), F.lit(", released in 1983. "), end)
+    return charts.viral_songs(table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" (Some Band song)")).alias("page_title"), intro.alias("intro")))
+
+
+@query("select p_partkey, 'Grade: ' || p_size as ending, true as starts from part")
+def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of the prompt starts with its rules; examples stand between them and the request."""
+    shots = text.graded_examples([("rain", "drops fall", 3)])
+    prompts = [text.judge_prompt(F.col("p_name"), F.concat(F.lit("Grade: "), F.col("p_size").cast("string")), shots, v) for v in text.PROMPTS]
+    starts = [p.startswith(rules + "\n\n" + shots) for p, rules in zip(prompts, text.PROMPTS.values(), strict=True)]
+    return table(spark, sf_dir, "part").select("p_partkey", F.substring_index(prompts[-1], "\n", -1).alias("ending"), (starts[0] & starts[1] & starts[2]).alias("starts"))
