@@ -70,13 +70,21 @@ def id_remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(col.cast("string")), F.lit(modulus))
 
 
-def repeated(df: DataFrame, times: str, name: str, at_once: int = 100_000) -> DataFrame:
-    """Each row of ``df`` ``times`` (long) times, numbered by ``name`` from 1; many repeats of one row are spread over tasks."""
-    few = df.filter(F.col(times) <= at_once).withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))))
+def repeated(df: DataFrame, times: str, name: str, most: int, at_once: int = 100_000) -> DataFrame:
+    """Each row of ``df`` ``times`` (long, ``most`` at most) times, numbered by ``name`` from 1.
+
+    Only where a row is repeated more than ``at_once`` times are its repeats
+    dealt to several tasks; the table is then written first, as it is read twice.
+    """
+    upto = F.sequence(F.lit(1).cast("long"), F.col(times))
+    if most <= at_once:
+        return df.withColumn(name, F.explode(upto))
+    df = persist(df, "repeated")
+    few = df.filter(F.col(times) <= at_once).withColumn(name, F.explode(upto))
     many = df.filter(F.col(times) > at_once).withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col(times) - 1, F.lit(at_once).cast("long"))))
     many = many.repartition(F.col("_from"), F.col(times))
-    upto = F.least(F.col(times), F.col("_from") + at_once)
-    return few.unionByName(many.withColumn(name, F.explode(F.sequence(F.col("_from") + 1, upto))).drop("_from"))
+    upto = F.sequence(F.col("_from") + 1, F.least(F.col(times), F.col("_from") + at_once))
+    return few.unionByName(many.withColumn(name, F.explode(upto)).drop("_from"))
 
 
 def keep_least(docs: DataFrame, near_duplicates: Callable[[DataFrame], DataFrame]) -> DataFrame:

@@ -203,7 +203,7 @@ def measure(docs: DataFrame) -> DataFrame:
     )
 
 
-def mix_groups(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 9) -> DataFrame:
+def mix_groups(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 9) -> tuple[DataFrame, int]:
     """How often the mix takes each group of rows alike in id, source and text.
 
     Returns row_key, doc_id, source, size, rows (how many are alike), copies
@@ -235,7 +235,8 @@ def mix_groups(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: i
     for more in done[1:]:
         out = out.unionByName(more)
     copies = out.select("row_key", F.col("copies").cast("long").alias("copies"))
-    return sized.join(copies, "row_key").join(plan, same).select("row_key", "doc_id", "source", "size", "rows", "copies", "source_size", "target")
+    out = sized.join(copies, "row_key").join(plan, same).select("row_key", "doc_id", "source", "size", "rows", "copies", "source_size", "target")
+    return out, sized.agg(F.max("rows")).first()[0] or 0
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MAX_REPEATS, seed: int = 9) -> DataFrame:
@@ -249,7 +250,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MA
     Very long texts are only counted. The outcome depends on the rows and
     ``seed`` alone, not on partitions. Other columns are left out.
     """
-    rows = repeated(mix_groups(docs, weights, repeats, seed), "rows", "_row", REPEAT_ROWS)
+    groups, most = mix_groups(docs, weights, repeats, seed)
+    rows = repeated(groups, "rows", "_row", most, REPEAT_ROWS)
     copies = F.floor(F.col("copies") / F.col("rows")) + (F.col("_row") <= F.pmod("copies", "rows")).cast("long")
     return rows.withColumn("copies", copies).select("row_key", "doc_id", "source", "size", "copies", (F.col("copies") * F.col("size")).alias("taken"), "source_size", "target")
 
@@ -263,11 +265,12 @@ def apply_mix(docs: DataFrame, **options: object) -> DataFrame:
     as in ``mix``; extra columns, whatever their names and types, come along.
     """
     names = docs.columns
-    groups = mix_groups(docs, **options).filter("copies > 0").select("row_key", "rows", "copies")
+    groups, most = mix_groups(docs, **options)
+    groups = groups.filter("copies > 0").select("row_key", "rows", "copies")
     joined = docs.select(row_of(docs), row_key().alias("row_key"), content_hash(docs, names).alias("_hash")).join(persist(groups, "mix-groups"), "row_key")
     single = joined.filter("rows = 1").select("row_key", "_row", F.col("copies").alias("_times"))
     alike = joined.filter("rows > 1").groupBy("row_key", "_hash", "rows", "copies").agg(F.count("*").alias("_n"), F.first("_row").alias("_row"))
     upto = F.sum("_n").over(Window.partitionBy("row_key").orderBy("_hash"))
     more = F.greatest(F.least(F.pmod("copies", "rows") - (upto - F.col("_n")), F.col("_n")), F.lit(0))
     shared = alike.withColumn("_times", F.col("_n") * F.floor(F.col("copies") / F.col("rows")) + more).filter("_times > 0").select("row_key", "_row", "_times")
-    return repeated(single.unionByName(shared), "_times", "_i", REPEAT_ROWS).select("_row.*")
+    return repeated(single.unionByName(shared), "_times", "_i", most * options.get("repeats", MAX_REPEATS), REPEAT_ROWS).select("_row.*")

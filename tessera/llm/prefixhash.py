@@ -137,9 +137,10 @@ _OUT = (
 )
 
 
-def _ranges(rows: DataFrame, wanted: int) -> DataFrame:
-    """``rows`` (doc_id, text, h) with ``times`` and ``part``, whose numbers follow the order of (doc_id, h), null ids last.
+def _ranges(rows: DataFrame, wanted: int) -> tuple[DataFrame, int]:
+    """``rows`` (doc_id, text, h) with ``times`` and ``part``, and the greatest ``times``.
 
+    Parts' numbers follow the order of (doc_id, h), null ids last.
     Parts are ranges of ids between quantiles. An id that is a quantile more
     than once has that many parts of its own, as have null ids, by ranges of
     h; of these rows, those alike in id and text are counted and sent once.
@@ -170,9 +171,10 @@ def _ranges(rows: DataFrame, wanted: int) -> DataFrame:
     columns = ["doc_id", "text", "h", "part", "times"]
     plain = marked.withColumn("times", F.lit(1).cast("long"))
     if not any(split for *_, split in bounds[:-1]) and not about["null"]:
-        return plain.select(columns)
+        return plain.select(columns), 1
     alike = marked.filter("_hot").groupBy("doc_id", "h", "part").agg(F.first("text").alias("text"), F.count("*").alias("times"))
-    return plain.filter("not _hot").select(columns).unionByName(alike.select(columns))
+    most = alike.agg(F.max("times")).first()[0] or 1
+    return plain.filter("not _hot").select(columns).unionByName(alike.select(columns)), most
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -190,7 +192,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     short_batches(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("h", F.xxhash64("text"))
-    rows = _ranges(rows, partitions(docs))
+    rows, most = _ranges(rows, partitions(docs))
     # One row a range, the least of each: as many as there are partitions.
     least = sorted(tuple(r) for r in rows.groupBy("part").agg(F.min(F.struct("doc_id", "h")).alias("first")).select("part", "first.doc_id", "first.h").collect())
     if not least:
@@ -224,7 +226,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    return repeated(ordered.mapInArrow(run, f"{_OUT}, _times long"), "_times", "_i").drop("_times", "_i")
+    return repeated(ordered.mapInArrow(run, f"{_OUT}, _times long"), "_times", "_i", most).drop("_times", "_i")
 
 
 def _compare(held: tuple, following: tuple) -> tuple:

@@ -85,7 +85,8 @@ def test_one_id_and_one_row_very_often(spark, monkeypatch, repeats):
     hashed = [tuple(r) for r in df.selectExpr("doc_id", "text", "xxhash64(text)").collect()]
     ordered = sorted(hashed, key=lambda r: (r[0] is None, r[0] or 0, r[2]))
     want = sorted((str(r[0]), *e) for r, e in zip(ordered, expected([r[1] for r in ordered]), strict=True))
-    marked = ph._ranges(df.withColumn("h", F.xxhash64("text")), 13)
+    marked, most = ph._ranges(df.withColumn("h", F.xxhash64("text")), 13)
+    assert most >= repeats
     sizes = [r["count"] for r in marked.groupBy("part").count().collect()]
     assert max(sizes) < 60 and marked.agg(F.max("times")).first()[0] >= repeats
     got = ph.neighbours(df)
