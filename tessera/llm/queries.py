@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, hamming, langid, lm, mixing, prefixhash, simhash, substrings, tokenfile, urlfilter
+from tessera.llm import bpe, hamming, importance, langid, lm, mih, mixing, prefixhash, simhash, substrings, tokenfile, urlfilter, whitening
 from tessera.storage import new_path, table
 
 
@@ -71,6 +71,22 @@ def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming.top_k(codes, codes.filter("id % 20 = 0"), 10)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's weight towards the benchmark texts, and the quarter that is drawn (``importance.resample``)."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the 32 first components of all vectors, whitened (``whitening.components_of``)."""
+    return whitening.components_of(table(spark, sf_dir, "embeddings"))
+
+
+def op13_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors found of every vector whose id is divisible by 50, but for itself (``mih.top_k``)."""
+    found = mih.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -84,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_mixing,
         op10_hamming_topk,
+        op11_importance_resampling,
+        op12_whitening,
+        op13_multi_index_hashing,
     )
 }
 
@@ -100,4 +119,40 @@ select query_id, cast(rank as integer) as rank, id, distance from (
 ) where rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op10_hamming_topk": _NEAREST}
+# crc32 of a text's bytes, byte by byte, from the table that its polynomial makes.
+_RESAMPLED = r"""
+with crc as (
+  select list(list_reduce(list_prepend(i, range(8)), lambda c, _: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from range(256) r(i)
+), tokens as (
+  select 'd' as side, row_number() over () as k, doc_id, text from documents union all select 'b', row_number() over (), null, text from benchmark
+), split as (
+  select side, k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from tokens
+), grams as (
+  select side, k, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as g from split
+), distinct_grams as (
+  select g, hex(encode(g)) as x from (select distinct g from grams)
+), buckets as (
+  select g, xor(list_reduce(list_prepend(4294967295, [cast('0x' || substr(x, cast(2 * i + 1 as bigint), 2) as bigint) for i in range(0, len(x) // 2)]),
+    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 10000 as bucket
+  from distinct_grams, crc
+), placed as (
+  select side, k, bucket from grams join buckets using (g)
+), per_bucket as (
+  select bucket, count(*) filter (side = 'd') as s, count(*) filter (side = 'b') as t from placed group by bucket
+), gains as (
+  select bucket, cast(floor(1000 * ln((cast(t as double) + 1) * (cast(sum(s) over () as double) + 10000) / ((cast(s as double) + 1) * (cast(sum(t) over () as double) + 10000)))) as bigint) as gain from per_bucket
+), sums as (
+  select k, count(*) as n, sum(gain) as total from placed join gains using (bucket) where side = 'd' group by k
+), weighed as (
+  select doc_id, len(w) as words, coalesce(n, 0) as n_features, case when n > 0 then cast((total - ((total % n) + n) % n) // n as bigint) else 0 end as weight,
+    cast('0x' || substr(sha256('7:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h
+  from split left join sums using (k) where side = 'd'
+), scored as (
+  select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from weighed
+), ranked as (
+  select *, row_number() over (partition by words >= 20 order by score desc, doc_id) as r, count(*) filter (words >= 20) over () as eligible from scored
+)
+select doc_id, cast(n_features as bigint) as n_features, weight, score, case when words >= 20 and r <= 25 * eligible // 100 then r end as rank from ranked
+"""
+
+ORACLES: dict[str, str] = {"op10_hamming_topk": _NEAREST, "op11_importance_resampling": _RESAMPLED}
