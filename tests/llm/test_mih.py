@@ -73,7 +73,7 @@ def test_close_groups_need_a_small_radius(spark):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], SCHEMA)
     rows, _ = mih.usable(df, "vec_id", "embedding")
     coder = mih.learn(mih.unit(v))
-    radius = mih._calibrate(rows, rows.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), coder, d, 5)
+    radius = mih._calibrate(rows, rows.filter("id % 50 = 0").withColumnRenamed("id", "query_id"), coder, 32, 5)
     assert radius < 20
     want, got = brute(list(enumerate(v.tolist())), 5), found(df)
     assert recall(got, want) >= 0.95
