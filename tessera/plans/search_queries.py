@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import snowball
 from tessera.functions.constants import LIST_DEPTH
-from tessera.operators import ann, encode, fusion, lexical, semantic, serve
+from tessera.operators import ann, cover, encode, fusion, inverted, lexical, semantic, serve
 from tessera.plans.registry import query
-from tessera.storage import new_path, persist, table
+from tessera.storage import new_path, persist, shared_dir, table
+from tessera.streaming import index_refresh
 
 _SIM = "list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v)))"
 _VECTORS = "e as (select vec_id as id, cast(embedding as double[]) as v, label from embeddings where embedding is not null), q as (select * from e where id = 0)"
@@ -65,35 +67,114 @@ b as (select query_id, id, round(sum(ln(1 + (n_docs - df + 0.5::double) / (df +
 bm as (select * from (select *, row_number() over (partition by query_id order by score desc, id) as rank from b) where rank <= 100)"""
 
 
-def _words(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> tuple[DataFrame, DataFrame]:
-    words = lexical.words(table(spark, sf_dir, "documents"), "doc_id", "text", stemmed)
-    return words, lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed)
+def _stored(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> inverted.Index:
+    return inverted.stored(table(spark, sf_dir, "documents"), "doc_id", "text", f"{shared_dir(spark)}/tessera", stemmed, positions=stemmed)
+
+
+def _asked(spark: SparkSession, sf_dir: str, stemmed: bool = False) -> DataFrame:
+    return persist(lexical.query_terms(table(spark, sf_dir, "benchmark"), "item_id", "text", stemmed), "asked")
 
 
 @query(f"with {_INDEX} select term, id, tf, cast(doc_len as bigint) as doc_len from p")
 def postings_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(_words(spark, sf_dir)[0]).select("term", "id", "tf", "doc_len")
+    entries = _stored(spark, sf_dir).entries
+    return entries.select("term", "id", F.col("tf").cast("long").alias("tf"), F.col("doc_len").cast("long").alias("doc_len"))
 
 
 @query(f"with {_INDEX}, {_MATCH} select query_id, id, score, cast(rank as integer) as rank from match")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.match_topk(*_words(spark, sf_dir))
+    return inverted.match_topk(_stored(spark, sf_dir), _asked(spark, sf_dir))
 
 
 @query(f"with {_INDEX}, {_BM25} select query_id, id, score, cast(rank as integer) as rank from bm")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, terms = _words(spark, sf_dir)
-    # The postings of the terms are read twice, for the scores and for how many texts have a term.
-    index = persist(lexical.postings(words, terms), "postings")
-    return lexical.bm25_topk(index, terms, lexical.lengths(table(spark, sf_dir, "documents"), "text"))
+    return inverted.bm25_topk(_stored(spark, sf_dir), _asked(spark, sf_dir))
 
 
-@query()
+# The same over stems: words in place, stop words out, each word's stem from the steps of ``snowball.sql``.
+_STOP = "(" + ", ".join(f"'{w}'" for w in snowball.STOP_WORDS) + ")"
+_PLACED = {t: f"(select {c} as id, unnest(range(len(t))) as pos, unnest(t) as term from (select {c}, {_SPLIT} as t from {t}))" for t, c in (("documents", "doc_id"), ("benchmark", "item_id"))}
+_STEMS = f"""dw as (select * from {_PLACED["documents"]} where term not in {_STOP}), qw as (select * from {_PLACED["benchmark"]} where term not in {_STOP}),
+voc as (select term from dw union select term from qw), {snowball.sql("voc")},
+ds as (select id, pos, stem as term from dw join snow9 using (term)), qs as (select id as query_id, pos, stem as term from qw join snow9 using (term)),
+sizes as (select id, count(*) as doc_len from ds group by 1), p as (select term, id, count(*) as tf, any_value(doc_len) as doc_len from ds join sizes using (id) group by 1, 2), qt as (select distinct query_id, term from qs)"""
+
+
+@query(f"with {_STEMS} select term, stem from snow9")
+def stemmed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stem of every word of documents and benchmark."""
+    words = [lexical.words(table(spark, sf_dir, t), c, "text").select("term") for t, c in (("documents", "doc_id"), ("benchmark", "item_id"))]
+    return snowball.stems(words[0].unionByName(words[1]).filter(~F.col("term").isin(*snowball.STOP_WORDS)).distinct())
+
+
+@query(f"with {_STEMS}, {_BM25} select query_id, id, score, cast(rank as integer) as rank from bm")
 def bm25_topk_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words, terms = _words(spark, sf_dir, stemmed=True)
-    words = persist(words.select("id", "doc_len", "pos", "term"), "stems")
-    index = persist(lexical.postings(words, terms), "postings")
-    return lexical.bm25_topk(index, terms, lexical.lengths_of(words))
+    return inverted.bm25_topk(_stored(spark, sf_dir, stemmed=True), _asked(spark, sf_dir, stemmed=True))
+
+
+@query(f"with {_STEMS}, {_MATCH} select query_id, id, score, cast(rank as integer) as rank from match")
+def cover_any_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V11 for OR queries: each position is a cover of its own."""
+    return inverted.match_topk(_stored(spark, sf_dir, stemmed=True), _asked(spark, sf_dir, stemmed=True))
+
+
+_ALL = f"""{_STEMS}, m as (select query_id, count(*) as m from qt group by 1), e as (
+  select query_id, id, pos, term from (select query_id, id from p join qt using (term) join m using (query_id) group by 1, 2, m having count(*) = m) join qt using (query_id) join ds using (id, term))"""
+_RANKED_COVERS = "select * from (select query_id, id, score, cast(row_number() over (partition by query_id order by score desc, id) as integer) as rank from s) where rank <= 100"
+
+
+@query(
+    f"""with {_ALL}, x as (select e.query_id, e.id, e.pos, qt.term from e join qt using (query_id)),
+l as (select x.query_id, x.id, x.pos as hi, b.pos as last from x asof join e b on x.query_id = b.query_id and x.id = b.id and x.term = b.term and x.pos >= b.pos),
+c as (select query_id, id, hi, min(last) as lo from l join m using (query_id) group by 1, 2, 3, m having count(*) = m),
+covers as (select query_id, id, lo, min(hi) as hi from c group by 1, 2, 3),
+numbered as (select query_id, id, pos, row_number() over (partition by query_id, id order by pos) as no from e),
+s as (select c.query_id, c.id, round(sum(0.1::double / (1 + (c.hi - c.lo) - (b.no - a.no))), 6) as score from covers c
+  join numbered a on a.query_id = c.query_id and a.id = c.id and a.pos = c.lo join numbered b on b.query_id = c.query_id and b.id = c.id and b.pos = c.hi group by 1, 2)
+{_RANKED_COVERS}"""
+)
+def cover_all_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V11 for AND queries: the texts that have all words of a benchmark text, those that have them closest first."""
+    return cover.all_topk(_stored(spark, sf_dir, stemmed=True), cover.query_words(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+
+
+@query(
+    f"""with {_ALL}, q as (select query_id, term, pos - min(pos) over (partition by query_id) as off from qs), f as (select query_id, max(off) as span, count(*) as k from q group by 1),
+b as (select e.query_id, e.id, e.pos - off as lo, any_value(span) as span from e join q using (query_id, term) join f using (query_id) group by e.query_id, e.id, e.pos - off, k having count(*) = k),
+n as (select b.query_id, b.id, b.lo, b.span, count(*) as own from b join e on e.query_id = b.query_id and e.id = b.id and e.pos between b.lo and b.lo + b.span group by 1, 2, 3, 4),
+s as (select query_id, id, round(sum(0.1::double / (span - own + 2)), 6) as score from n group by 1, 2)
+{_RANKED_COVERS}"""
+)
+def cover_phrase_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V11 for phrases: the texts in which a benchmark text stands word for word."""
+    return cover.phrase_topk(_stored(spark, sf_dir, stemmed=True), cover.query_words(table(spark, sf_dir, "benchmark"), "item_id", "text"))
+
+
+@query(
+    f"""with w as (select doc_id as id, {_SPLIT} as t from (select doc_id, case doc_id % 10 when 1 then 'again ' || coalesce(text, '') when 5 then 'fresh words of ' || doc_id else text end as text from documents where doc_id % 10 <> 0)),
+flat as (select id, len(t) as doc_len, unnest(t) as term from w) select term, id, count(*) as tf, cast(any_value(doc_len) as bigint) as doc_len from flat group by 1, 2"""
+)
+def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three runs of a stream insert, change and delete texts; the postings are those of an index made of what is left."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 10).alias("d"))
+    source, path, checkpoint = (new_path(spark, label) for label in ("changes", "index", "checkpoint"))
+    runs = (
+        docs.filter("d < 6"),
+        docs.filter("d > 4").withColumn("text", F.when(F.col("d") == 5, F.concat(F.lit("fresh words of "), F.col("id").cast("string"))).otherwise(F.col("text"))),
+        docs.filter("d < 2").withColumn("text", F.when(F.col("d") == 1, F.concat(F.lit("again "), F.coalesce("text", F.lit(""))))),
+    )
+    for number, changes in enumerate(runs):
+        rows = changes.select("id", "text", F.lit(False).alias("gone"), F.lit(number).cast("long").alias("seq"))
+        rows.write.mode("append").parquet(source)
+        index = index_refresh.refresh(spark, source, path, checkpoint, compact_over=2)
+    return index.entries.select("term", "id", F.col("tf").cast("long").alias("tf"), F.col("doc_len").cast("long").alias("doc_len"))
+
+
+@query()
+def opened_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9: how many blocks of the index each query of ``bm25_topk`` could open, and how many it does."""
+    index, terms = _stored(spark, sf_dir), _asked(spark, sf_dir)
+    return inverted.opened(index, inverted.bm25_terms(index, terms), inverted.bm25_part(index))
 
 
 # Vectors of documents and queries: those of the rows of the same number, as far as there are some.
@@ -109,7 +190,7 @@ def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "benchmark").join(rows, F.col("item_id") == F.col("id"))
     asked = asked.select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query_vector"), F.lit(None).cast("string").alias("query_language"))
     semantic_list = semantic.topk_batch(rows, asked, LIST_DEPTH, "id", "embedding")
-    return fusion.rrf([("semantic", semantic_list), ("lexical", lexical.match_topk(*_words(spark, sf_dir)))], by=["query_id"])
+    return fusion.rrf([("semantic", semantic_list), ("lexical", inverted.match_topk(_stored(spark, sf_dir), _asked(spark, sf_dir)))], by=["query_id"])
 
 
 @query(f"{_FUSED} select query_id, id, score, cast(semantic_rank as integer) as semantic_rank, cast(lexical_rank as integer) as lexical_rank, cast(rank as integer) as rank from r where rank <= 10")
