@@ -80,3 +80,22 @@ def test_thinned_links_connect_the_same(spark, monkeypatch, links):
     assert thin.count() <= 102 * -(-len(pairs) // links)
     assert {(r.node, r.root) for r in components.components(thin).collect()} == {(x, min(g)) for g in groups for x in g}
     assert components.thinned(df.limit(0)).count() == 0
+
+
+def test_exact_setting_misses_no_pair(spark):
+    """Whole prefixes and no budget: the groups are those of all pairs, short texts at 4 of 5 shingles among them."""
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for n in [8, 8, 8, 12, 13, 30] * 12:
+        base = [word() for _ in range(n)]
+        rows += [" ".join(base), " ".join([*base, word()])]
+    sets = [shingled(t) for t in rows]
+    least = list(range(len(rows)))
+    for i, j in combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((least[i], least[j]))
+            least = [a if x == b else x for x in least]
+    df = spark.createDataFrame(list(enumerate(rows)), "k long, text string")
+    got = similar.near_duplicates(df, budget=64, most=None).collect()
+    assert {r.k: r.component for r in got} == dict(enumerate(least)) and len(set(least)) == len(rows) // 2
