@@ -99,3 +99,42 @@ def test_exact_setting_misses_no_pair(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "k long, text string")
     got = similar.near_duplicates(df, budget=64, most=None).collect()
     assert {r.k: r.component for r in got} == dict(enumerate(least)) and len(set(least)) == len(rows) // 2
+
+
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_dense_group_unlike_its_least_text(spark, monkeypatch, chunk):
+    """Near copies of which few are similar to the first, cut into chunks: the groups are those of all pairs."""
+    monkeypatch.setattr(similar, "CHUNK", chunk)
+    monkeypatch.setattr(similar, "CENTRES", 1)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    base, rows = [word() for _ in range(150)], []
+    for _ in range(70):
+        copy = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append(" ".join(copy))
+    sets = [shingled(t) for t in rows]
+    least, linked = list(range(len(rows))), 0
+    for i, j in combinations(range(len(rows)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            linked += 1
+            a, b = sorted((least[i], least[j]))
+            least = [a if x == b else x for x in least]
+    assert 100 < linked < 70 * 69 / 2 and len(set(least)) < 70
+    df = spark.createDataFrame(list(enumerate(rows)), "k long, text string")
+    got = {r.k: r.component for r in similar.near_duplicates(df).collect()}
+    assert got == dict(enumerate(least))
+
+
+def test_links_of_chunks():
+    rng = np.random.default_rng(4)
+    sets = [np.sort(rng.permutation(30)[: rng.integers(23, 31)]) for _ in range(60)]
+    node, label, side = rng.permutation(60) * 7, rng.integers(0, 50, 60), rng.integers(0, 2, 60)
+    near = lambda i, j: label[i] != label[j] and 9 * len(np.intersect1d(sets[i], sets[j])) >= 4 * (len(sets[i]) + len(sets[j]))
+    for one in (False, True):
+        got = similar.links_between(node, label, np.zeros(60) if one else side, sets)
+        want = [(node[i], node[j]) for i, j in combinations(range(60), 2) if near(i, j) and (one or side[i] != side[j])]
+        assert want
+        joined = similar._forest(*np.array(want).T)
+        assert set(zip(*got, strict=True)) == set(zip(*joined, strict=True))
