@@ -171,7 +171,7 @@ def refreshed_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def opened_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def blocks_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V9: how many blocks of the index each query of ``bm25_topk`` could open, and how many it does."""
     index, terms = _stored(spark, sf_dir), _asked(spark, sf_dir)
     return inverted.opened(index, inverted.bm25_terms(index, terms), inverted.bm25_part(index))
