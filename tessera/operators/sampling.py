@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.functions.constants import BANDS, CATEGORIES, LEAST_CANDIDATES, OVER_GENERATE
 from tessera.operators.dedup import first_seen
-from tessera.operators.scoring import lookup
+from tessera.operators.scoring import lookup, running_count
 from tessera.storage import persist
 
 
@@ -104,8 +104,9 @@ def unused(queries: DataFrame, used: DataFrame, languages: list[str]) -> DataFra
 
 
 def numbered(df: DataFrame, prefix: str, digits: int, order: list[Column]) -> DataFrame:
-    """Ids such as raw_0001 in an order over all rows, made for lists a person edits."""
-    return df.withColumn("id", F.format_string(f"{prefix}_%0{digits}d", F.row_number().over(Window.orderBy(*order))))
+    """Ids such as raw_0001 in an order over all rows; rows are numbered in ranges of that order."""
+    placed = running_count(df, [], order)
+    return placed.withColumn("id", F.format_string(f"{prefix}_%0{digits}d", F.col("place"))).drop("place")
 
 
 def candidates_of(replies: DataFrame, order: list[str]) -> DataFrame:

@@ -46,7 +46,7 @@ def _union(scored: DataFrame, by: list[str], firsts: dict[str, str | Column], *m
     )
 
 
-def running_count(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+def running_count(df: DataFrame, by: list[str], order: list[str | Column]) -> DataFrame:
     """``df`` with ``place``: 1, 2, ... within each ``by`` in order.
 
     Rows are dealt by ranges of (by, order), so a group of any size lies in
@@ -172,6 +172,33 @@ def forward_fill(df: DataFrame, group: str, order: list[str], value: Column) ->
     return df.withColumn("filled", F.last(value, ignorenulls=True).over(w))
 
 
+def carry_spans(df: DataFrame, by: list[str], place: str, value: str, span: str, header: str) -> DataFrame:
+    """``df`` with ``carried``: the value of a cell that spans the rows from its own on.
+
+    ``place`` numbers the rows of each ``by``; a cell with a ``value`` counts
+    for ``span`` places, its own among them (null: 1), until another value or
+    a row where ``header`` is true, which has none itself. After a cell's last
+    place nothing is carried: an earlier, longer cell doesn't come back.
+
+    What a stretch of rows hands on is its last cell or header, if it has one,
+    else what it was handed: that combines in any grouping, so rows are dealt
+    by ranges of (by, place) and a page of any length lies in many tasks.
+    """
+    is_header = F.coalesce(F.col(header), F.lit(False))
+    until = F.when(is_header, F.col(place)).otherwise(F.col(place) + F.coalesce(F.col(span), F.lit(1)))
+    cell = F.when(is_header | F.col(value).isNotNull(), F.struct(until.cast("long").alias("until"), F.when(~is_header, F.col(value)).alias("value")))
+    ranged = persist(df.repartitionByRange(*by, place).withColumns({"_part": F.spark_partition_id(), "_cell": cell}), "ranges")
+    ends = ranged.groupBy(*by, "_part").agg(F.max_by("_cell", F.when(F.col("_cell").isNotNull(), F.col(place))).alias("_end"))
+    earlier = F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    handed = ends.select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_part").alias("_of"), earlier.alias("_handed")).filter("_handed is not null")
+    same = F.col("_part") == F.col("_of")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    own = F.last("_cell", ignorenulls=True).over(Window.partitionBy("_part", *by).orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    held = ranged.withColumn("_own", own).join(handed, same, "left").withColumn("_held", F.coalesce("_own", "_handed"))
+    return held.select(*df.columns, F.when(F.col(place) < F.col("_held.until"), F.col("_held.value")).alias("carried"))
+
+
 def rerank(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
     """Ranks 1 to n of what is left."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))

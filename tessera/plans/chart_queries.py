@@ -76,6 +76,19 @@ def award_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.carry(rows, "o_custkey", ["o_orderkey"], ["artist"])
 
 
+@query(
+    """with c as (select event_id, event_type, event_id % 13 = 0 as header, case when event_id % 7 = 0 then user_id end as artist, cast(1 + event_id % 40 as bigint) as rows from events),
+h as (select *, last_value(case when header or artist is not null then {'until': case when header then event_id else event_id + rows end, 'v': case when not header then artist end} end ignore nulls)
+  over (partition by event_type order by event_id rows unbounded preceding) as cell from c)
+select event_id, event_type, case when event_id < cell.until then cell.v end as carried from h"""
+)
+def rowspan_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that span rows, ended by the next cell, a header or their last row; the pages are few and long."""
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", (e % 13 == 0).alias("header"), F.when(e % 7 == 0, F.col("user_id")).alias("artist"), (1 + e % 40).alias("rows"))
+    return scoring.carry_spans(rows, ["event_type"], "event_id", "artist", "rows", "header").select("event_id", "event_type", "carried")
+
+
 @query(
     """select p_partkey, [p_name || ' / ' || p_brand, p_type || ' / Maker ' || p_size] as both, [p_name || ' / ' || p_brand, p_type || ' / Maker ' || p_size] as nominees,
   p_brand as pair_artist, p_name || ' - live' as pair_title, [p_name] as prose from part"""

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -241,3 +242,28 @@ def test_incremental_runs_see_each_file_once(spark, tmp_path):
         for _ in range(2):
             incremental.process_new(spark, source, "id long, v double", sink, mark, lambda df: df.withColumn("v", F.col("v") + 1), "id")
     assert sorted((r.id, r.v) for r in incremental.read_processed(spark, sink).collect()) == [(i, 2.0) for i in range(20)]
+
+
+def test_cells_that_span_rows(spark):
+    """Against a row-by-row walk: nested and ended spans, headers, null spans, one page over many partitions."""
+    rng = random.Random(2)
+    rows = []
+    for page, n in (("a", 3000), ("b", 1), ("c", 40), (None, 30)):
+        rows += [(page, i, rng.choice([None, None, None, f"v{i}"]), rng.choice([None, 1, 2, 9, 60]), rng.choice([None, False, False, False, True]) if i % 9 == 0 else False) for i in range(n)]
+    want, held = {}, {}
+    for page, i, value, span, header in rows:
+        if header:
+            held[page] = (None, 0)
+        elif value is not None:
+            held[page] = (value, 1 if span is None else span)
+        v, left = held.get(page, (None, 0))
+        want[page, i] = v if left > 0 else None
+        held[page] = (v, left - 1)
+    df = spark.createDataFrame(rows, "page string, place long, value string, span int, header boolean").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = scoring.carry_spans(df, ["page"], "place", "value", "span", "header").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.page, r.place): r.carried for r in got} == want and len(got) == len(rows)
+    assert scoring.carry_spans(df.limit(0), ["page"], "place", "value", "span", "header").count() == 0
