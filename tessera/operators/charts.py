@@ -60,10 +60,11 @@ def with_genre(records: DataFrame, lists: DataFrame) -> DataFrame:
 def with_artist_genre(records: DataFrame, genres: DataFrame) -> DataFrame:
     """``records`` (artist_raw, ...) with their artist's genre; artists of none drop out.
 
-    Names are normalised on both sides; of names that become equal the least
-    genre counts.
+    Names are normalised on both sides. Of names that become equal the last by
+    the column ``seq`` counts, if ``genres`` has one, else the least genre.
     """
-    known = genres.groupBy(text.normalize_key(F.col("artist")).alias("_artist")).agg(F.min("genre").alias("genre"))
+    last = F.max_by("genre", F.struct("seq", "genre")) if "seq" in genres.columns else F.min("genre")
+    known = genres.groupBy(text.normalize_key(F.col("artist")).alias("_artist")).agg(last.alias("genre"))
     keyed = records.withColumn("_artist", text.normalize_key(F.col("artist_raw")))
     return keyed.join(known, "_artist").select(*records.columns, "genre")
 

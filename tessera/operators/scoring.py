@@ -152,7 +152,8 @@ def weeks_at_top(df: DataFrame, group: str, key: str = "key", least: int = 5) ->
     """Rank songs by how often they were listed; groups with fewer than ``least`` songs drop out."""
     counted = df.groupBy(group, key).agg(F.count("*").alias("weeks"), F.min("seq").alias("seq"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("weeks"), "seq")))
-    return ranked.withColumn("_songs", F.count("*").over(Window.partitionBy(group))).filter(F.col("_songs") >= least).select(group, key, "weeks", "rank")
+    enough = counted.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_songs")).filter(F.col("_songs") >= least)
+    return ranked.join(enough, F.col(group).eqNullSafe(F.col("_g")), "left_semi").select(group, key, "weeks", "rank")
 
 
 def average_rank(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -62,6 +62,17 @@ def artist_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.with_artist_genre(part.select("p_partkey", F.col("p_brand").alias("artist_raw")), genres)
 
 
+@query(
+    """with k as (select p_brand, arg_max(p_type, p_partkey) as genre from part where p_partkey % 3 > 0 group by 1)
+select p_partkey, p_brand as artist_raw, genre from part join k using (p_brand)"""
+)
+def artist_genres_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J6 where many names become equal: the last entry wins."""
+    part = table(spark, sf_dir, "part")
+    genres = part.filter("p_partkey % 3 > 0").select(F.upper("p_brand").alias("artist"), F.col("p_type").alias("genre"), F.col("p_partkey").alias("seq"))
+    return charts.with_artist_genre(part.select("p_partkey", F.col("p_brand").alias("artist_raw")), genres)
+
+
 @query("select p_partkey, p_type as url, case p_type when 'ECONOMY' then 'rap' else 'metal' end as genre, 'award' as source from part where p_type in ('ECONOMY', 'PROMO')")
 def genre_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = spark.createDataFrame([("ECONOMY", "rap", "award"), ("PROMO", "metal", "award")], "url string, genre string, source string")
