@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import evaluate, judge, sampling
+from tessera.operators import evaluate, judge, replay, sampling
 from tessera.plans.registry import query
 from tessera.storage import new_path, table
 from tessera.streaming import incremental
@@ -198,3 +198,63 @@ def calibrated_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rest, both = all_.subtract(some), all_.intersect(some)
     mark = lambda df, a, b: df.select(F.col("lang").alias("language"), F.lit(a).alias("uncalibrated"), F.lit(b).alias("both"))
     return mark(rest, True, False).unionByName(mark(both, False, True))
+
+
+def _replay_sql(log: str, sizes: str) -> str:
+    """Tables ``keys`` and ``done`` (who, stack of their places): each list's keys one after the other, on a stack that is held as such.
+
+    ``log`` is (who, session, seq, key) and ``sizes`` (who, size).
+    """
+    return f"""keys as (select *, row_number() over (partition by who order by session, seq) as n from ({log}) join ({sizes}) using (who)),
+walk as (select who, size, 0::bigint as n, null::bigint as session, false as quit, 0::bigint as floor, []::bigint[] as stack from (select distinct who, size from keys)
+  union all select w.who, w.size, k.n, k.session, case when len(w.stack) >= w.size then w.quit else (k.session is not distinct from w.session and w.quit) or k.key = 'q' end,
+    case when k.session is distinct from w.session then len(w.stack) else w.floor end,
+    case when (w.quit and k.session = w.session) or len(w.stack) >= w.size then w.stack when k.key in ('k', 'd', '0', '1', '2', '3') then list_append(w.stack, k.n)
+      when k.key = 'u' and len(w.stack) > case when k.session is distinct from w.session then len(w.stack) else w.floor end then w.stack[:-2] else w.stack end
+  from walk w join keys k on k.who = w.who and k.n = w.n + 1),
+done as (select who, unnest(stack) as n, generate_subscripts(stack, 1) as place from (select who, arg_max(stack, n) as stack from walk group by 1))"""
+
+
+# Each event is a key of one of 50 curators, a week is a session; documents are dealt to the curators.
+_KEY = "case event_type when 'view' then 'k' when 'purchase' then 'K' when 'signup' then 'd' when 'click' then 'u' else case when value < 20 then 'q' when value < 80 then 'U' else 'x' end end"
+_OPEN = "select doc_id % 50 as who, doc_id from documents where doc_id not in (select doc_id from labels where toxic = 1)"
+
+
+def _keys(spark: SparkSession, sf_dir: str, lists: int, session: str, key: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select((F.col("user_id") % lists).alias("who"), F.expr(session).cast("long").alias("session"), F.col("event_id").alias("seq"), F.expr(key).alias("key"))
+
+
+@query(
+    f"""with recursive {_replay_sql(f"select user_id % 50 as who, (dayofyear(ts) // 7)::bigint as session, event_id as seq, lower({_KEY}) as key from events", f"select who, count(*) as size from ({_OPEN}) group by 1")},
+places as (select *, row_number() over (partition by who order by doc_id) as place from ({_OPEN}))
+select p.who, p.doc_id, k.session, k.seq, k.key from done d join places p using (who, place) join keys k on k.who = d.who and k.n = d.n"""
+)
+def curation_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("who"), "doc_id")
+    earlier = table(spark, sf_dir, "labels").filter("toxic = 1")
+    return replay.replay(_keys(spark, sf_dir, 50, "floor(dayofyear(ts) / 7)", _KEY), docs, ["who"], ["doc_id"], decided=earlier, on=["doc_id"])
+
+
+# Batches of labelled documents, two of them without a grader; the second round has the events after the 15th.
+_GRADE_KEY = "case when event_type = 'signup' then 'u' when event_type = 'error' then 'x' else cast(event_id % 4 as string) end"
+_BATCHES = "select doc_id % 12 as who, doc_id from labels"
+
+
+def _round_sql(days: str, pairs: str) -> str:
+    log = f"select user_id % 10 as who, dayofmonth(ts)::bigint as session, event_id as seq, {_GRADE_KEY} as key from events where {days}"
+    return _replay_sql(log, f"select who, count(*) as size from ({pairs}) group by 1")
+
+
+@query(
+    f"""with one as (with recursive {_round_sql("dayofmonth(ts) <= 15", _BATCHES)}, places as (select *, row_number() over (partition by who order by doc_id) as place from ({_BATCHES}))
+  select p.who, p.doc_id, k.key::integer as grade from places p left join done d using (who, place) left join keys k on k.who = d.who and k.n = d.n),
+ready as (select who, doc_id from one where who in (select who from one group by 1 having bool_and(grade is not null))),
+two as (with recursive {_round_sql("dayofmonth(ts) > 15", "select * from ready")}, places as (select *, row_number() over (partition by who order by (doc_id * 7919 + 5) % 104729, doc_id) as place from ready)
+  select p.who, p.doc_id, k.key::integer as regrade from places p join done d using (who, place) join keys k on k.who = d.who and k.n = d.n)
+select one.who as batch, one.doc_id, grade, regrade from one left join two on two.who = one.who and two.doc_id = one.doc_id"""
+)
+def grading_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "labels").select((F.col("doc_id") % 12).alias("batch"), "doc_id")
+    keys = _keys(spark, sf_dir, 10, "dayofmonth(ts)", _GRADE_KEY).withColumnRenamed("who", "batch")
+    once = replay.first_round(pairs, keys.filter("session <= 15"), "batch", ["doc_id"])
+    return replay.second_round(once, keys.filter("session > 15"), "batch", "doc_id", order=sampling.arithmetic_key("doc_id", 5))
