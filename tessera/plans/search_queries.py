@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import snowball
 from tessera.functions.constants import LIST_DEPTH
-from tessera.operators import ann, cover, encode, fusion, inverted, lexical, semantic, serve
+from tessera.operators import ann, cover, encode, fusion, inverted, language, lexical, semantic, serve
 from tessera.plans.registry import query
 from tessera.storage import new_path, persist, shared_dir, table
 from tessera.streaming import index_refresh
@@ -256,10 +256,60 @@ def search_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return serve.search(passages, asked, "find").select("id", "score", "rank", "dominance")
 
 
-@query()
+_GRAMS = """spaced as (select doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' as s from documents),
+spots as (select *, unnest(generate_series(1, length(s))) as i from spaced),
+grams as (select doc_id, lang, substr(s, i, n) as gram from spots, (values (1), (2), (3)) t(n) where i + n - 1 <= length(s) and trim(substr(s, i, n)) <> ''),
+profile as (select lang, gram, r from (select lang, gram, row_number() over (partition by lang order by count(*) desc, gram) as r from grams where lang is not null group by 1, 2) where r <= 300),
+own as (select doc_id, gram, r from (select doc_id, gram, row_number() over (partition by doc_id order by count(*) desc, gram) as r from grams group by 1, 2) where r <= 300),
+far as (select own.doc_id, l.lang, sum(abs(coalesce(p.r, 300) - own.r)) as far from own cross join (select distinct lang from profile) l left join profile p on p.lang = l.lang and p.gram = own.gram group by 1, 2),
+found as (select doc_id, lang as detected from far qualify row_number() over (partition by doc_id order by far, lang) = 1)"""
+
+
+@query(f"with {_GRAMS} select d.doc_id, d.lang, coalesce(f.detected, 'unknown') as detected from documents d left join found f on f.doc_id = d.doc_id")
 def lang_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "lang", encode.detect_language(F.col("text"), encode.profiles(docs, "text", "lang"), unknown="unknown").alias("detected"))
+    found = language.detect(docs, "doc_id", "text", language.profiles(docs, "text", "lang"), unknown="unknown")
+    return docs.select("doc_id", "lang").join(found, "doc_id")
+
+
+def _hashed_sql(name: str, salt: str) -> str:
+    h = f"('0x' || substr(md5('{salt}' || w), 1, 8))::bigint"
+    return f"{name} as (select doc_id, {h} % 64 as place, sum(case when {h} // 64 % 2 = 0 then 1 else -1 end)::double as x from words group by 1, 2)"
+
+
+# The least document of each of two languages is a text to search with; documents are passages, dealt to 90 songs.
+@query(
+    f"""with {_GRAMS}, words as (select doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) as w from documents), {_hashed_sql("base", "")}, {_hashed_sql("multi", "m")},
+asked as (select lang as asked, min(doc_id) as q, any_value(detected) as detected from (select d.lang, d.doc_id, f.detected, min(d.doc_id) over (partition by d.lang) as least from documents d left join found f using (doc_id) where d.lang in ('de', 'en')) where doc_id = least group by 1),
+v as (select 'base' as kind, * from base union all select 'multi', * from multi), norms as (select kind, doc_id, sqrt(sum(x * x)) as norm from v group by 1, 2),
+pick as (select *, case when detected in ('pl', 'de', 'es') then 'multi' else 'base' end as kind, case when detected in ('en', 'pl', 'de', 'es') then detected end as boost from asked),
+dots as (select p.asked, p.boost, p.kind, p.q, b.doc_id, sum(a.x * b.x) as dot from pick p join v a on a.kind = p.kind and a.doc_id = p.q join v b on b.kind = p.kind and b.place = a.place group by all),
+scored as (select t.asked, t.doc_id, round(t.dot / (m.norm * n.norm) + case when d.lang = t.boost then 0.1 else 0 end, 6) as score, d.text from dots t join norms m on m.kind = t.kind and m.doc_id = t.q join norms n on n.kind = t.kind and n.doc_id = t.doc_id
+  join documents d on d.doc_id = t.doc_id where m.norm > 0 and n.norm > 0),
+near as (select * from scored qualify row_number() over (partition by asked order by score desc, doc_id) <= 40),
+best as (select * from near qualify row_number() over (partition by asked, doc_id % 90 order by score desc, doc_id) = 1)
+select asked, cast(row_number() over (partition by asked order by score desc, doc_id) as integer) as rank, 'Artist ' || doc_id % 90 as artist, 'Song ' || doc_id % 90 as title, cast(1960 + doc_id % 90 as integer) as year, trim(text) as passage, score
+from best qualify row_number() over (partition by asked order by score desc, doc_id) <= 10"""
+)
+def vibe_search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in two languages: detected, encoded for the vectors of their route, boosted, one row a song."""
+    docs = table(spark, sf_dir, "documents")
+    vectors = encode.hashed(docs, "doc_id", "text", "embedding").join(encode.hashed(docs, "doc_id", "text", "embedding_multi", salt="m"), "doc_id")
+    passages = persist(docs.join(vectors, "doc_id").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 90).alias("song_id"), F.col("text").alias("passage_text"), F.col("lang").alias("language"), "embedding", "embedding_multi"), "passages")
+    song = F.col("song_id").cast("string")
+    songs = passages.select("song_id").distinct().select(F.col("song_id").alias("id"), F.concat(F.lit("Artist "), song).alias("artist"), F.concat(F.lit("Song "), song).alias("title"), (1960 + F.col("song_id")).cast("int").alias("year"))
+
+    def encoder(salt: str) -> encode.Encoder:
+        def run(texts: list[str]) -> np.ndarray:
+            rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+            return np.array([r["v"] for r in encode.hashed(rows, "id", "text", "v", salt=salt).orderBy("id").collect()])
+
+        return run
+
+    detect = language.detector(language.profiles(docs, "text", "lang"))
+    asked = docs.filter(F.col("lang").isin("de", "en")).groupBy("lang").agg(F.min_by("text", "doc_id").alias("text")).orderBy("lang").collect()  # two rows
+    found = [serve.vibe_search(passages, songs, r["text"], 10, encoder(""), detect, encoder_multi=encoder("m"))[1].withColumn("asked", F.lit(r["lang"])) for r in asked]
+    return found[0].unionByName(found[1])
 
 
 @query()
