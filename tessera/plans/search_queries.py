@@ -257,8 +257,9 @@ def search_find(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GRAMS = """spaced as (select doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g')) || ' ' as s from documents),
-spots as (select *, unnest(generate_series(1, length(s))) as i from spaced),
-grams as (select doc_id, lang, substr(s, i, n) as gram from spots, (values (1), (2), (3)) t(n) where i + n - 1 <= length(s) and trim(substr(s, i, n)) <> ''),
+chars as (select doc_id, lang, unnest(string_split(s, '')) as c, generate_subscripts(string_split(s, ''), 1) as i from spaced),
+runs as (select doc_id, lang, c as c1, c || lead(c) over w as c2, c || lead(c) over w || lead(c, 2) over w as c3 from chars window w as (partition by doc_id order by i)),
+grams as (select * from (select doc_id, lang, unnest([c1, c2, c3]) as gram from runs) where trim(gram) <> ''),
 profile as (select lang, gram, r from (select lang, gram, row_number() over (partition by lang order by count(*) desc, gram) as r from grams where lang is not null group by 1, 2) where r <= 300),
 own as (select doc_id, gram, r from (select doc_id, gram, row_number() over (partition by doc_id order by count(*) desc, gram) as r from grams group by 1, 2) where r <= 300),
 far as (select own.doc_id, l.lang, sum(abs(coalesce(p.r, 300) - own.r)) as far from own cross join (select distinct lang from profile) l left join profile p on p.lang = l.lang and p.gram = own.gram group by 1, 2),
