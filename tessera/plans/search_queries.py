@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import snowball
 from tessera.functions.constants import LIST_DEPTH
-from tessera.operators import ann, cover, encode, fusion, inverted, language, lexical, semantic, serve
+from tessera.operators import ann, cover, encode, fusion, graph, inverted, language, lexical, semantic, serve
 from tessera.plans.registry import query
 from tessera.storage import new_path, persist, shared_dir, table
 from tessera.streaming import index_refresh
@@ -316,3 +318,44 @@ def vibe_search_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def encode_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "embedding")
+
+
+_NEAREST = f"""with {_VECTORS.replace("where id = 0", "where id % 20 = 0")}, s as (select q.id as query_id, e.id, round({_SIM}, 6) as score from e, q),
+r as (select *, row_number() over (partition by query_id order by score desc, id) as rank from s) select query_id, id, score, cast(rank as integer) as rank from r where rank <= 10"""
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The graph of all vectors, and the rows that are queries."""
+    rows = _vectors(spark, sf_dir)
+    index = graph.build(rows, "id", "embedding", new_path(spark, "graph"))
+    return index, rows.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+
+
+@query(_NEAREST)
+def graph_topk_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of every shard: what an exact search finds."""
+    return graph.topk(*_graph(spark, sf_dir), 10, None)
+
+
+@query()
+def graph_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beams as wide as the rows need for their neighbours."""
+    index, queries = _graph(spark, sf_dir)
+    return graph.topk(index, queries, 10, graph.width_for(index, _vectors(spark, sf_dir), "id", "embedding"))
+
+
+@query()
+def graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the graph finds of the true neighbours, and the share of all cosines that it takes."""
+    rows = _vectors(spark, sf_dir)
+    index, queries = _graph(spark, sf_dir)
+    found = persist(graph.search_shards(index, queries, 10, graph.width_for(index, rows, "id", "embedding")), "found")
+    truth = semantic.topk_batch(rows, queries.withColumn("query_language", F.lit(None).cast("string")), 10, "id", "embedding").select("query_id", "id")
+    parts = (
+        found.agg(F.sum("computed").alias("computed")),
+        rows.filter("embedding is not null").agg(F.count("*").alias("candidates"), F.count_if(F.col("id") % 20 == 0).alias("queries")),
+        truth.join(graph.merge(found, 10), ["query_id", "id"], "left").agg(F.count("*").alias("true"), F.count("rank").alias("hits")),
+    )
+    one = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    sums = one.agg(*(F.sum(c).alias(c) for c in ("candidates", "queries", "computed", "true", "hits")))
+    return sums.select("candidates", "queries", "computed", (F.col("computed") / (F.col("candidates") * F.col("queries"))).alias("share"), (F.col("hits") / F.col("true")).alias("recall"))
