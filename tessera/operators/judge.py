@@ -33,22 +33,24 @@ def split_cache(pairs: DataFrame, cache: DataFrame, signature: str) -> tuple[Dat
     return pairs.join(known, ["query_id", "passage_id"]), pairs.join(known, ["query_id", "passage_id"], "left_anti")
 
 
+def attempt(grader: Grader, prompt: str, budgets: tuple[int, ...] = TOKEN_BUDGETS) -> int:
+    """E5: the last digit that is a grade in the first reply that has one; an error after all attempts."""
+    for budget in budgets:
+        reply = grader(prompt, budget)
+        digits = [t for t in "".join(c if c.isalnum() or c == "_" else " " for c in reply).split() if t in ("0", "1", "2", "3")]
+        if digits:
+            return int(digits[-1])
+    raise ValueError(f"no grade in {reply!r}")
+
+
 def grade(pairs: DataFrame, make_grader: Callable[[], Grader] = overlap_grader, budgets: tuple[int, ...] = TOKEN_BUDGETS) -> DataFrame:
     """E5: adds ``grade`` to pairs with a query and passage_text; no grade after all attempts fails the job."""
 
-    def attempt(grader: Grader, prompt: str) -> int:
-        for budget in budgets:
-            reply = grader(prompt, budget)
-            digits = [t for t in "".join(c if c.isalnum() or c == "_" else " " for c in reply).split() if t in ("0", "1", "2", "3")]
-            if digits:
-                return int(digits[-1])
-        raise ValueError(f"no grade in {reply!r}")
-
     @F.pandas_udf("int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grader = make_grader()
         for prompts in batches:
-            yield prompts.map(lambda p: attempt(grader, p))
+            yield prompts.map(lambda p: attempt(grader, p, budgets))
 
     return pairs.withColumn("grade", run(text.judge_prompt(F.col("query"), F.col("passage_text"))))
 

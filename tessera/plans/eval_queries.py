@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import evaluate, judge, replay, sampling
 from tessera.plans.registry import query
 from tessera.storage import new_path, table
-from tessera.streaming import incremental
+from tessera.streaming import incremental, judge_stream
 
 # Each event is a result: its user the query, its place by value the rank, its type the grade.
 _GRADE = "case event_type when 'purchase' then 3 when 'signup' then 2 when 'click' then 1 else 0 end"
@@ -110,6 +110,30 @@ def cache_hits_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("passage_id", "grade", F.lit("hit").alias("outcome")).unionByName(missed)
 
 
+_WORDS = r"list_distinct([x for x in regexp_split_to_array(lower(coalesce({}, '')), '\s+') if x <> ''])"
+
+
+@query(
+    f"""with n as (select count(*) as n from benchmark), p as (select b.item_id, d.doc_id, {_WORDS.format("b.text")} as wanted, {_WORDS.format("d.text")} as has from documents d, n join benchmark b on b.item_id = d.doc_id % n.n)
+select cast(item_id as varchar) as query_id, cast(doc_id as varchar) as passage_id, cast(least(3, floor(4.0 * len(list_intersect(wanted, has)) / greatest(1, len(wanted)))) as integer) as grade,
+  cast(case when doc_id % 2 = 0 then 2 else 1 end as bigint) as asked, cast(1 as bigint) as graded from p"""
+)
+def judge_stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document graded for a benchmark text as pairs arrive: first those of even ids, then, to a restarted stream, all."""
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    requests = asked.select("item_id", F.col("text").alias("query"))
+    met = docs.withColumn("item_id", F.col("doc_id") % F.lit(asked.count())).join(requests, "item_id")
+    pairs = met.select(
+        "doc_id", F.lit("offline::v3").alias("signature"), F.col("item_id").cast("string").alias("query_id"), F.col("doc_id").cast("string").alias("passage_id"), "query", F.col("text").alias("passage_text"),
+    )
+    at = new_path(spark, "judging")
+    for arrived in (pairs.filter("doc_id % 2 = 0"), pairs):
+        judge_stream.land(arrived, f"{at}/pairs", flush=None)
+        judge_stream.judge_new(spark, f"{at}/pairs", f"{at}/judged", f"{at}/state", files_per_batch=1000)
+    judged = judge_stream.read_judged(spark, f"{at}/judged")
+    return judged.groupBy("query_id", "passage_id").agg(F.max("grade").alias("grade"), F.sum("asked").alias("asked"), F.count_if("fresh").alias("graded"))
+
+
 @query()
 def judged_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn graded against its conversation's first request, by the offline grader."""
