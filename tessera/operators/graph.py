@@ -14,7 +14,6 @@ k rows a query and shard are moved.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from heapq import heappop, heappush, heapreplace
 from math import ceil
 
 import numpy as np
@@ -31,6 +30,8 @@ M, CONSTRUCTION = 16, 64
 SHARD_ROWS, QUERY_BLOCK, TILE = 20_000, 4_096, 1_024
 #: Numbers of the vectors that are gathered at once while links are chosen.
 GATHERED = 1 << 22
+#: Queries whose beams are widened together.
+BEAMS = 256
 #: Ids that a node lists, the least ones: no search for that many or fewer can need more.
 MOST_K = 100
 #: Queries are broadcast up to this size, and otherwise dealt to the shards by a shuffle.
@@ -173,37 +174,61 @@ def build(df: DataFrame, id_column: str, vector_column: str, path: str, shard_ro
     return df.sparkSession.read.schema(_INDEX).parquet(path)
 
 
-def _beam(v: np.ndarray, layers: list[int], ends: np.ndarray, links: np.ndarray, q: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """(nodes, cosines, cosines computed) of the ``ef`` best nodes that a walk from the top finds."""
-    seen = np.zeros(len(v), dtype=bool)
+def _padded(ends: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """A layer's links as one row a node, filled up with -1."""
+    count = np.diff(ends)
+    out = np.full((len(count), count.max(initial=0)), -1, dtype=np.int32)
+    out[np.repeat(np.arange(len(count)), count), np.arange(ends[-1] - ends[0]) - np.repeat(ends[:-1] - ends[0], count)] = links[ends[0] : ends[-1]]
+    return out
+
+
+def _widen(v: np.ndarray, linked: np.ndarray, q: np.ndarray, begin: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, cosines, cosines computed) of each query's ``ef`` best nodes of one layer, -1 where there are fewer.
+
+    Each step goes on, for all queries at once, from a query's best node that
+    it has not gone on from, until it has from all it keeps.
+    """
+    every = np.arange(len(q))
+    nodes, score = np.full((len(q), ef), -1), np.full((len(q), ef), -np.inf)
+    done = np.zeros((len(q), ef), dtype=bool)
+    seen = np.zeros((len(q), len(v)), dtype=bool)
+    nodes[:, 0], score[:, 0], seen[every, begin] = begin, np.einsum("ij,ij->i", v[begin], q), True
+    computed = np.ones(len(q), dtype=np.int64)
+    while True:
+        open_ = np.where(done, -np.inf, score)
+        pick = open_.argmax(1)
+        rows = np.nonzero(np.isfinite(open_[every, pick]))[0]
+        if not len(rows):
+            return nodes, score, computed
+        done[rows, pick[rows]] = True
+        near = linked[nodes[rows, pick[rows]]]
+        fresh = (near >= 0) & ~seen[rows[:, None], near]
+        at, place = np.nonzero(fresh)
+        new = near[at, place]
+        seen[rows[at], new] = True
+        computed[rows] += fresh.sum(1)
+        found = np.full(near.shape, -np.inf)
+        found[at, place] = np.einsum("ij,ij->i", v[new], q[rows[at]])
+        all_score = np.concatenate((score[rows], found), axis=1)
+        keep = np.argpartition(-all_score, ef - 1, axis=1)[:, :ef]
+        nodes[rows] = np.take_along_axis(np.concatenate((nodes[rows], near), axis=1), keep, 1)
+        done[rows] = np.take_along_axis(np.concatenate((done[rows], np.zeros(near.shape, dtype=bool)), axis=1), keep, 1)
+        score[rows] = np.take_along_axis(all_score, keep, 1)
+
+
+def _beams(v: np.ndarray, layers: list[int], ends: np.ndarray, links: np.ndarray, q: np.ndarray, ef: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(nodes, cosines, cosines computed) for each query: its ``ef`` best nodes that a walk from the top finds."""
     starts = np.cumsum([0] + [size + 1 for size in layers])
-    at, best, computed = 0, float(v[0] @ q), 1
-    for layer in range(len(layers) - 1, 0, -1):
-        moved = True
-        while moved:
-            a, b = ends[starts[layer] + at : starts[layer] + at + 2]
-            score = v[links[a:b]] @ q
-            computed += b - a
-            moved = b > a and float(score.max()) > best
-            if moved:
-                at, best = int(links[a + int(score.argmax())]), float(score.max())
-    seen[at] = True
-    found, open_ = [(best, at)], [(-best, at)]
-    while open_ and not (len(found) == ef and -open_[0][0] < found[0][0]):
-        _, at = heappop(open_)
-        near = links[ends[at] : ends[at + 1]]
-        near = near[~seen[near]]
-        seen[near] = True
-        computed += len(near)
-        for score, node in zip((v[near] @ q).tolist(), near.tolist(), strict=True):
-            if len(found) < ef:
-                heappush(found, (score, node))
-            elif score > found[0][0]:
-                heapreplace(found, (score, node))
-            else:
-                continue
-            heappush(open_, (-score, node))
-    return np.array([node for _, node in found]), np.array([score for score, _ in found]), int(computed)
+    linked = [_padded(ends[starts[i] : starts[i + 1]], links) for i in range(len(layers))]
+    for a in range(0, len(q), BEAMS):
+        part = q[a : a + BEAMS]
+        begin, computed = np.zeros(len(part), dtype=np.int64), np.zeros(len(part), dtype=np.int64)
+        for i in range(len(layers) - 1, -1, -1):
+            nodes, score, more = _widen(v[: layers[i]], linked[i], part, begin, 1 if i else ef)
+            begin, computed = nodes[:, 0], computed + more
+        for j in range(len(part)):
+            real = np.isfinite(score[j])
+            yield nodes[j, real], score[j, real], int(computed[j])
 
 
 def search_shards(index: DataFrame, queries: DataFrame, k: int, ef: int | None) -> DataFrame:
@@ -239,13 +264,12 @@ def search_shards(index: DataFrame, queries: DataFrame, k: int, ef: int | None)
                 ends, links = shard["ends"].values.to_numpy(), shard["links"].values.to_numpy()
                 layers, ids = shard["layers"].as_py(), shard["ids"].as_py()
                 out: list[tuple[int, int, float, int]] = []
-                for one in shard["asked"].as_py():
-                    q = np.array(one["q"])
-                    q = q / np.linalg.norm(q)
-                    if ef is None:
-                        nodes, score, computed = np.arange(len(v)), v @ q, len(v)
-                    else:
-                        nodes, score, computed = _beam(v, layers, ends, links, q, max(ef, k))
+                asked = shard["asked"].as_py()
+                q = np.array([one["q"] for one in asked])
+                q /= np.linalg.norm(q, axis=1, keepdims=True)
+                every = np.arange(len(v))
+                beams = ((every, v @ one, len(v)) for one in q) if ef is None else _beams(v, layers, ends, links, q, max(ef, k))
+                for one, (nodes, score, computed) in zip(asked, beams, strict=True):
                     score = np.round(score, 6)
                     # Everything at least as good as the kth, so that ties are settled by id.
                     least = -np.partition(-score, min(k, len(score)) - 1)[min(k, len(score)) - 1]
