@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tessera.storage import discard, persist, release
+from tessera.storage import discard, persist
 
 #: Bytes of an Arrow batch, whatever its number of rows; one longer row is a batch of its own.
 BATCH_BYTES = 8 << 20
 #: Bytes of an input, as its files hold it, for each partition of its shuffles.
 PARTITION_BYTES = 32 << 20
+#: Keys whose hashes are broadcast, at most (8 bytes each).
+BROADCAST_KEYS = 1_000_000
 #: Sizes from here on are Spark's word for "not known".
 _UNKNOWN = 1 << 60
 
@@ -87,6 +89,22 @@ def repeated(df: DataFrame, times: str, name: str, most: int, at_once: int = 100
     return few.unionByName(many.withColumn(name, F.explode(upto)).drop("_from"))
 
 
+def split_by(rows: DataFrame, keys: DataFrame, count: int, key: str = "k") -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` that may have a key of ``keys``, and those that have none.
+
+    A broadcast of the keys' hashes tells them apart, so that only the first
+    need be shuffled; rows of other keys with an equal hash are among them.
+    Of more than ``BROADCAST_KEYS`` keys (``count``) no broadcast is made: all
+    rows are the first, and the second are None.
+    """
+    if count > BROADCAST_KEYS:
+        return rows, None
+    # At most BROADCAST_KEYS rows of one long.
+    hashes = F.broadcast(keys.select(F.xxhash64(key).alias("_hash_of_key")).distinct())
+    met = F.xxhash64(key) == F.col("_hash_of_key")
+    return rows.join(hashes, met, "left_semi"), rows.join(hashes, met, "left_anti")
+
+
 def keep_least(docs: DataFrame, near_duplicates: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of ``docs`` whose name is the least of their component, one of each name.
 
@@ -101,7 +119,8 @@ def keep_least(docs: DataFrame, near_duplicates: Callable[[DataFrame], DataFrame
     # Most rows stay and are the only ones of their name: the list of the others decides, and is short.
     other = persist(counts.filter((F.col("rows") > 1) | (F.col("k") != F.col("component"))), "others")
     discard(marked)
-    release(docs.sparkSession)
     repeated = other.filter(F.col("k") == F.col("component")).select("k")
-    one = ranked.join(repeated, "k", "left_semi").groupBy("k").agg(F.first("_row").alias("_row"))
-    return ranked.join(other, "k", "left_anti").select("_row.*").unionByName(one.select("_row.*"))
+    near, far = split_by(ranked, other, other.count())
+    one = near.join(repeated, "k", "left_semi").groupBy("k").agg(F.first("_row").alias("_row"))
+    kept = near.join(other, "k", "left_anti").select("_row.*").unionByName(one.select("_row.*"))
+    return kept if far is None else kept.unionByName(far.select("_row.*"))

@@ -199,17 +199,19 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     return rows.mapInArrow(run, with_fields(rows, rows.columns[1:], "lang_pred string, score double"))
 
 
-def least_scores(scored: DataFrame, text: str = "text") -> Column:
+def least_scores(scored: DataFrame, text: str = "text", size: str = "") -> Column:
     """The score below which a text is taken to be in none of the languages, by its length.
 
     It is ``OF_MEDIAN`` of the median score of all rows of ``scored`` (text,
     score) of about that length, between two powers of two, as short texts
     score low whatever their language. Texts in other languages or of random
     letters don't lower it much while they are less than half. At most 32 rows
-    reach the driver.
+    reach the driver. ``size`` is a column of ``scored`` with the length of
+    the text, where it lacks the text itself.
     """
-    length = F.floor(F.log2(F.length(text) + 1)).cast("int")
-    found = scored.filter("score > 0").groupBy(length.alias("length")).agg(F.percentile_approx("score", 0.5, 10_000).alias("median")).collect()
+    of = lambda size: F.floor(F.log2(size + 1)).cast("int")
+    length = of(F.length(text))
+    found = scored.filter("score > 0").groupBy(of(F.col(size) if size else F.length(text)).alias("length")).agg(F.percentile_approx("score", 0.5, 10_000).alias("median")).collect()
     limit = F.lit(0.0)
     for r in found:
         limit = F.when(length == r["length"], OF_MEDIAN * r["median"]).otherwise(limit)

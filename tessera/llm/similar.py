@@ -37,9 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep_least, short_batches, with_fields
+from tessera.llm.common import keep_least, short_batches, split_by, with_fields
 from tessera.llm.components import Forest, components, thinned
-from tessera.llm.simhash import majority, meet
+from tessera.llm.simhash import BITS, majority, meet
 from tessera.storage import discard, persist, release
 
 SHINGLE, SEED, BUDGET = 5, 42, 28
@@ -125,7 +125,7 @@ _MEETING = ["gram", "node", "fp", "n", "at", "label"]
 
 
 def _groups(rows: DataFrame, schema: str, each) -> DataFrame:
-    """``each`` over the columns of whole meetings (equal gram), sorted by gram and label."""
+    """``each`` over the columns of whole meetings (equal gram), sorted by gram and, where there is one, label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
@@ -143,13 +143,15 @@ def _groups(rows: DataFrame, schema: str, each) -> DataFrame:
         if size:
             yield from each(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    return rows.select(_MEETING).repartition("gram").sortWithinPartitions("gram", "label", "node").mapInArrow(run, schema)
+    own = [c for c in _MEETING if c in rows.columns]
+    order = [c for c in ("gram", "label", "node") if c in own]
+    return rows.select(own).repartition("gram").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 _SHARED = "gram long, node long, fp long, n int, at int, centre int, least long, least_fp long, least_n int, least_at int"
 
 
-def _shared(gram, node, fp, n, at, label) -> Iterator[pa.RecordBatch]:
+def _shared(gram, node, fp, n, at) -> Iterator[pa.RecordBatch]:
     """The rows of meetings of two or more, each with the first ``CENTRES`` nodes of the meeting."""
     starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
     sizes = np.diff(np.append(starts, len(gram)))
@@ -297,8 +299,9 @@ def _sets(nodes: DataFrame, texts: DataFrame, marked: DataFrame) -> DataFrame:
             found = [shingles(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(list(map(_node, found)), pa.int64()), _lists([f.view(np.int64) for f in found], "i8")], ["node", "grams"])
 
-    one = marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("k").alias("k"))
-    chosen = texts.select("k", "text").join(one.select("k"), "k", "left_semi").dropDuplicates(["k"])
+    one = persist(marked.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("k").alias("k")).select("k"), "similar-wanted")
+    near, _ = split_by(texts.select("k", "text"), one, one.count())
+    chosen = near.join(one, "k", "left_semi").dropDuplicates(["k"])
     return persist(chosen.select("text").mapInArrow(run, "node long, grams array<long>"), "similar-sets")
 
 
@@ -327,7 +330,7 @@ def near_duplicates(texts: DataFrame, budget: int = BUDGET, most: int | None = F
     first = persist(_prefixes(texts, most), "similar-first")
     marked = persist(first.select("k", "node"), "similar")
     distinct = first.groupBy("node").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("first").alias("first"))
-    rows = distinct.select("node", "fp", "n", F.posexplode("first").alias("at", "gram"), F.col("node").alias("label"))
+    rows = distinct.select("node", "fp", "n", F.posexplode("first").alias("at", "gram"))
     shared = persist(_groups(rows, _SHARED, _shared), "similar-shared")
     discard(first)
     release(spark)
@@ -352,7 +355,7 @@ def near_duplicates(texts: DataFrame, budget: int = BUDGET, most: int | None = F
     return rooted.join(least, "root").select("k", "component")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, exact: bool = False) -> DataFrame:
     """The rows of ``docs`` but for near-duplicates of another; columns unchanged.
 
     The row with the least (doc_id, hash of its content) of each component
@@ -360,6 +363,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     duplicates like any others. Texts without a word (null, empty, white
     space) are alike. An empty table gives an empty result. Columns of any
     name and type come along. A very long text costs some forty times its
-    size in memory.
+    size in memory. With ``exact`` no similar pair is left out: whole prefixes
+    meet, and no pair is dropped by its fingerprints.
     """
-    return keep_least(docs, near_duplicates)
+    find = partial(near_duplicates, budget=BITS, most=None) if exact else near_duplicates
+    return keep_least(docs, find)

@@ -1,11 +1,13 @@
 import random
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import components, simhash, similar
+from tessera.llm import common, components, simhash, similar
 
 
 def shingled(text):
@@ -138,3 +140,30 @@ def test_links_of_chunks():
         assert want
         joined = similar._forest(*np.array(want).T)
         assert set(zip(*got, strict=True)) == set(zip(*joined, strict=True))
+
+
+def test_pipeline_stage_has_an_exact_way(spark, monkeypatch):
+    """What the bit budget and the short prefix drop is found by ``exact``, also in the pipeline's stage."""
+    monkeypatch.setattr(similar, "near_duplicates", partial(similar.near_duplicates, budget=0, most=1))
+    rng = random.Random(12)
+    rows = []
+    for i in range(20):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+        rows += [(2 * i, " ".join(base), "en", "a", 0), (2 * i + 1, " ".join([*base, "more", "words"]), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.drop_near_duplicates(spark, docs, "").count() > 20
+    exact = corpus_pipeline.drop_near_duplicates(spark, docs, "", exact=True)
+    assert sorted(r.doc_id for r in exact.select("doc_id").collect()) == list(range(0, 40, 2))
+
+
+@pytest.mark.parametrize("most", [10**6, 3])
+def test_rows_are_told_apart_before_a_shuffle(spark, monkeypatch, most):
+    """Rows without a listed key aren't shuffled; beyond the bound of the broadcast all are."""
+    monkeypatch.setattr(common, "BROADCAST_KEYS", most)
+    rows = spark.range(100).select(F.struct("id").alias("k"))
+    keys = rows.filter("k.id % 10 = 0")
+    near, far = common.split_by(rows, keys, keys.count())
+    if most == 3:
+        assert far is None and near.count() == 100
+    else:
+        assert near.count() == 10 and far.count() == 90 and "hashpartitioning(k" not in far._jdf.queryExecution().executedPlan().toString()
