@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import short_batches, with_fields
+from tessera.llm.common import gives_back, short_batches, with_fields
 from tessera.llm.memo import Memo
 
 #: Entries of each half of a worker's memos of units and pieces of text.
@@ -217,6 +217,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, keep: list[str],
     other columns are left out.
     """
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = load(ranks, pattern)
         decimal = {i: str(i) for i in vocabulary.bytes_of}

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -11,7 +14,7 @@ from pyspark.sql.types import StructField, StructType
 from tessera.storage import discard, persist
 
 #: Bytes of an Arrow batch, whatever its number of rows; one longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 #: Bytes of an input, as its files hold it, for each partition of its shuffles.
 PARTITION_BYTES = 32 << 20
 #: Keys whose hashes are broadcast, at most (8 bytes each).
@@ -32,6 +35,29 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
 
+def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; when its task ends, what the task has freed goes back to the system.
+
+    A worker serves task after task. Its allocators would hold the most that
+    one of them took throughout later stages, where the JVM beside it needs
+    that memory.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return task
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError, TypeError):  # glibc has it, other C libraries don't
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions for the files that ``df`` reads: the session's number, or more for much data."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import gives_back
 from tessera.storage import discard, persist
 
 #: The rounds needed grow with the square of the logarithm of a path's length: no list of links needs more.
@@ -50,6 +51,7 @@ def thinned(edges: DataFrame) -> DataFrame:
     edges = persist(edges, "links")
     tasks = max(1, -(-edges.count() // TASK_LINKS))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.empty(0, np.int64), np.empty(0, np.int64)), *((x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches)]
         a, b = (np.concatenate(x) for x in zip(*held, strict=True))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_remainder, short_batches, with_fields
+from tessera.llm.common import gives_back, id_remainder, short_batches, with_fields
 
 DIMENSIONS = 1024
 SEED = 20_241
@@ -94,12 +94,12 @@ def _blocks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.
         lengths = np.fromiter((len(p) + 1 for p in parts), np.int64, len(parts))
         joined = "\n" + "\n".join(parts) + "\n"
         codes = table[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        docs = np.concatenate(([0], np.repeat(np.arange(len(parts)), lengths)))
+        docs = np.repeat(np.arange(len(parts), dtype=np.int32), np.concatenate(([lengths[0] + 1], lengths[1:])))
         keep = codes != 0
         keep[1:] |= codes[:-1] != 0
-        codes, docs = codes[keep].astype(np.int64), docs[keep]
+        codes, docs = codes[keep].astype(np.int32), docs[keep]
         if len(codes) and codes[0]:
-            codes, docs = np.concatenate(([0], codes)), np.concatenate((docs[:1], docs))
+            codes, docs = np.concatenate((np.zeros(1, np.int32), codes)), np.concatenate((docs[:1], docs))
         grams = codes[:-2] << 14 | codes[1:-1] << 7 | codes[2:]
         inner = codes[1:-1] != 0
         yield at, end, docs[1:-1][inner], grams[inner]
@@ -113,6 +113,7 @@ def bundles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFram
     language, however large its share of the rows is.
     """
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
@@ -176,6 +177,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str
     """
     names, prototypes = model
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = _Trigrams()
         for batch in batches:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keep_least, short_batches, split_by, with_fields
+from tessera.llm.common import gives_back, keep_least, short_batches, split_by, with_fields
 from tessera.llm.components import Forest, components, thinned
 from tessera.llm.simhash import BITS, majority, meet
 from tessera.storage import discard, persist, release
@@ -82,6 +82,7 @@ def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles of a sample, sorted, and each one's place in the order."""
     every = max(1, texts.count() // SAMPLE)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -99,6 +100,7 @@ def _prefixes(texts: DataFrame, most: int | None) -> DataFrame:
     """``k`` with node, n (shingles of the set) and the first fifth of them, in order; of uncommon ones ``most``."""
     common, place = _common(texts)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, marks, sizes, firsts = [], [], [], []
@@ -127,6 +129,7 @@ _MEETING = ["gram", "node", "fp", "n", "at", "label"]
 def _groups(rows: DataFrame, schema: str, each) -> DataFrame:
     """``each`` over the columns of whole meetings (equal gram), sorted by gram and, where there is one, label."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size, wanted = 0, 200_000
@@ -245,6 +248,7 @@ def _group_links(candidates: DataFrame, labels: DataFrame, texts: DataFrame, mar
     rows = rows.withColumn("side", F.pmod(F.xxhash64("node"), F.col("chunks"))).withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     rows = rows.select("root", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"), "node", "label", "side", "grams")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_keys(batches, 3):
             key = [table.column(i).to_numpy() for i in range(3)]
@@ -294,6 +298,7 @@ def _whole_keys(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[pa.
 def _sets(nodes: DataFrame, texts: DataFrame, marked: DataFrame) -> DataFrame:
     """(node, grams) of the distinct ``nodes``; ``marked`` has k and node of ``texts``."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(t) for t in batch.column(0).to_pylist()]

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import column, row_of, short_batches
+from tessera.llm.common import column, gives_back, row_of, short_batches
 from tessera.storage import discard, persist, release
 
 GEAR_SEED, DIGEST_SEED = 7, 0
@@ -42,6 +42,8 @@ MIN_WORDS = 16
 MIN_WEIGHT = 128
 #: Text of a block that is chunked at once.
 BLOCK_BYTES = 4_000_000
+#: Rows of a block that are sent at once.
+SLICE = 32_768
 #: Rows of one digest that one task should hold at most; digests with more are split.
 HOT, SPLIT, MOST_HOT = 4096, 64, 10_000
 
@@ -199,6 +201,7 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in _WINDOWS.split(", ")])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, texts, size = [], [], [], 0
         number = TaskContext.get().partitionId() << 32
@@ -209,17 +212,22 @@ def occurrences(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 texts.append(text)
                 size += len(text)
                 if size >= BLOCK_BYTES:
-                    yield block(number, ids, hashes, texts)
+                    yield from _slices(block(number, ids, hashes, texts))
                     ids, hashes, texts, size = [], [], [], 0
                     number += 1
         if ids:
-            yield block(number, ids, hashes, texts)
+            yield from _slices(block(number, ids, hashes, texts))
 
     short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     return rows.filter("text <> ''").mapInArrow(run, _WINDOWS)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, SLICE):
+        yield batch.slice(at, SLICE)
+
+
 _TEXT = ("doc_id", "text_hash")
 _PLACE = (*_TEXT, "place")
 
@@ -296,6 +304,7 @@ def _spans(docs: DataFrame, min_words: int) -> DataFrame:
         discard(read)
     release(docs.sparkSession)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = pa.array([_worthwhile(x, min_words) for x in batch.column(2).to_pylist()], batch.column(2).type)
