@@ -3,6 +3,7 @@ from functools import partial
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +168,61 @@ def test_rows_are_told_apart_before_a_shuffle(spark, monkeypatch, most):
         assert far is None and near.count() == 100
     else:
         assert near.count() == 10 and far.count() == 90 and "hashpartitioning(k" not in far._jdf.queryExecution().executedPlan().toString()
+
+
+def random_sets():
+    """Sets of 0 to 12,000 hashes, and copies of each that share 95 to 50 %."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    out = []
+    for n in (0, 1, 5, 64, 65, 300, 500, 520, 1000, 12_000):
+        base = np.unique(draw(n))
+        out += [base] + [np.unique(np.concatenate((base[: int(n * share)], draw(n - int(n * share) + more)))) for share in (0.95, 0.9, 0.89, 0.8, 0.5) for more in (0, n // 20)]
+    return out
+
+
+def test_bit_maps_drop_no_similar_pair_and_most_others():
+    sets = random_sets()
+    maps = pa.array([b"", *map(similar.bit_map, sets)], pa.binary()).slice(1)
+    assert max(len(m.as_py()) for m in maps) == similar.MAP_BITS // 8
+    i, j = np.triu_indices(len(sets), 1)
+    n = np.array([len(s) for s in sets])
+    may = similar.may_link(maps, maps, n[i], n[j], i, j)
+    true = np.array([9 * len(np.intersect1d(sets[a], sets[b])) >= 4 * (n[a] + n[b]) for a, b in zip(i, j, strict=True)])
+    assert true.sum() > 50 and not (true & ~may).any() and may[~true].mean() < 0.1
+
+
+def test_pairs_that_chance_brings_together_are_no_candidates():
+    """Texts that share a shingle at most hung together in one group, as large as the corpus made it; now none is in one."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64)) for _ in range(100)]
+    node, same = np.arange(100), np.zeros(100, np.int64)
+    near = [(0, 1)]
+    sets[1] = np.unique(np.concatenate((sets[0][:295], sets[1][:5])))
+    n = np.array([len(s) for s in sets])
+    maps = pa.array(list(map(similar.bit_map, sets)), pa.binary())
+    args = (same, node, rng.integers(0, 15, 100), n, same, node)
+    assert len(list(similar._candidates(*args, None))[0]) == 99
+    got = similar._candidates(*args, maps)
+    assert [(b, a) for batch in got for a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True)] == near
+
+
+def test_sets_are_sent_in_rounds(spark, monkeypatch):
+    """Many rounds give what one does, and none sends more than its share."""
+    rows = [(i, t) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(rows, "k long, text string")
+    one = {r.k: r.component for r in similar.near_duplicates(df).collect()}
+    for name, value in (("TIMES", 1), ("SENT", 1), ("CHUNK", 3), ("CENTRES", 1)):
+        monkeypatch.setattr(similar, name, value)
+    rounds, written, real = [], [], similar._in_rounds
+
+    def watched(rows, by, count, *rest):
+        rounds.append(count)
+        return real(rows, by, count, *rest)
+
+    persist = similar.persist
+    monkeypatch.setattr(similar, "_in_rounds", watched)
+    monkeypatch.setattr(similar, "persist", lambda df, label: written.append(label) or persist(df, label))
+    assert {r.k: r.component for r in similar.near_duplicates(df).collect()} == one and len(set(one.values())) < len(rows)
+    assert max(rounds) > 1 and sum(rounds) == sum(x in ("similar-links", "similar-group-links") for x in written)
+    assert similar._rounds(1001, 100) == 1001 // 100 + 1 and similar._rounds(0, 0) == 1
